@@ -48,3 +48,29 @@ def op6(spark, sf_dir):
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     )
     return url_rules.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op8_bpe_automaton")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    from millrace.llm import bpe_automaton
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe_automaton.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+@_query("op2_hilbert_packing")
+def op2(spark, sf_dir):
+    import public_tokenizers
+
+    from millrace.llm import hilbert_packing
+
+    return hilbert_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op1_spotsigs")
+def op1(spark, sf_dir):
+    from millrace.llm import spotsigs
+
+    return spotsigs.edit_likeness(table(spark, sf_dir, "documents"))
