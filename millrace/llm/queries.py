@@ -74,3 +74,12 @@ def op1(spark, sf_dir):
     from millrace.llm import spotsigs
 
     return spotsigs.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_toxicity_kn")
+def op10(spark, sf_dir):
+    from millrace.llm import toxicity_kn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity_kn.judge(docs, labels).select("doc_id", "held_out", "score", "predicted")
