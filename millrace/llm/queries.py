@@ -83,3 +83,19 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity_kn.judge(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op9_pii_bootstrap")
+def op9(spark, sf_dir):
+    from millrace.llm import pii_bootstrap as pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base", pii.is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.sort_array(F.concat("base", "added"))).alias("spans"),
+    )
