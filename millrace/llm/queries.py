@@ -99,3 +99,10 @@ def op9(spark, sf_dir):
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.sort_array(F.concat("base", "added"))).alias("spans"),
     )
+
+
+@_query("op4_dart_minhash")
+def op4(spark, sf_dir):
+    from millrace.llm import dart_minhash
+
+    return dart_minhash.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
