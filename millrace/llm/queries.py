@@ -106,3 +106,10 @@ def op4(spark, sf_dir):
     from millrace.llm import dart_minhash
 
     return dart_minhash.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op3_compact_windows")
+def op3(spark, sf_dir):
+    from millrace.llm import compact_windows
+
+    return compact_windows.memberships(table(spark, sf_dir, "documents").select("doc_id", "text"))
