@@ -32,3 +32,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["tfidf_topk_lang"](spark, sf_dir)
+
+
+from millrace.plans import blocking_queries, relational_queries  # noqa: E402, F401
