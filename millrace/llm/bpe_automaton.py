@@ -7,8 +7,7 @@ the token strings that BPE yields are accepted. What follows a token depends on
 state is named by the arc label that enters it, and the copies are kept as what each gadget removed and when;
 a transition is worked out at its first use and then read from a table.
 
-Encoding a pre-split word walks its bytes: each prefix has one accepted tokenization, so each position keeps
-the label that enters it. Decoding emits the arcs' labels.
+Encoding a pre-split word walks the arcs that spell it, the longest labels first. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 _NEVER = 1 << 60
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 CACHED_ARCS = 2_000_000
 
 
@@ -79,6 +78,7 @@ class TokenAutomaton:
                 self.removed[u, v] = step
                 self.token[self.label[t]] = t
         self.longest = max(map(len, self.token))
+        self.written = {i: i.to_bytes(4, "little") for i in self.label}
         #: Ids of white-space chunks and of pre-split words met before; each is emptied at CACHED_WORDS entries.
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -110,32 +110,35 @@ class TokenAutomaton:
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The one accepted token string that spells word."""
-        token, runs, longest = self.token, self.runs, self.longest
-        whole = token.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        n = len(word)
-        behind = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                t = token.get(word[begin:end])
-                if t is not None and (begin == 0 or runs(behind[begin], t)):
-                    behind[end] = t
+        """The one accepted token string that spells word: arcs are tried from the longest label down, and a place that
+        leads nowhere is left for good, as each prefix has one accepted token string."""
+        token, runs, label, n = self.token, self.runs, self.label, len(word)
+        out, dead, at = [], set(), 0
+        size = min(n, self.longest)
+        while at < n:
+            while size:
+                t = token.get(word[at : at + size])
+                if t is not None and (not out or runs(out[-1], t)) and at + size not in dead:
                     break
-        out = []
-        while n:
-            out.append(behind[n])
-            n -= len(self.label[behind[n]])
-        out.reverse()
+                size -= 1
+            if size:
+                out.append(t)
+                at += size
+            else:
+                dead.add(at)
+                size = len(label[out.pop()])
+                at -= size
+                size -= 1
+                continue
+            size = min(n - at, self.longest)
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        pieces, out = self.pieces, []
+        pieces, written, out = self.pieces, self.written, []
         for word in self.pattern.findall(chunk):
             got = pieces.get(word)
             if got is None:
-                got = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+                got = b"".join([written[t] for t in self.encode_word(word.encode())])
                 if len(word) <= 64:
                     if len(pieces) >= CACHED_WORDS:
                         pieces.clear()
