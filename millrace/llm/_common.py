@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import string
 import tempfile
 import uuid
 
@@ -59,7 +59,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: What is stripped from both ends of a word.
+EDGE = string.punctuation + "¿¡«»„“”‘’‚‹›…–—·•"
 
 
 class WordCodes(dict):
@@ -76,7 +77,7 @@ class WordCodes(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
-        word = _EDGE.sub("", chunk.lower())
+        word = chunk.lower().strip(EDGE)
         if not word:
             code = 0
         else:
