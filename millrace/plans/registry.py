@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["tfidf_topk_lang"](spark, sf_dir)
 
 
-from millrace.plans import blocking_queries, relational_queries  # noqa: E402, F401
+from millrace.plans import blocking_queries, relational_queries, text_queries  # noqa: E402, F401
