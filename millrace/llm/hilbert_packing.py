@@ -1,8 +1,9 @@
 """Packing along a space-filling curve: documents are sorted by the Hilbert key of their projected word vectors,
 and neighbours on the curve are packed into sequences one behind the other.
 
-A document's words are hashed into BUCKETS counts, damped, normalised and projected to DIMENSIONS Gaussian
-directions; each coordinate is squashed to [0, 1), and the grid cell's place on the Hilbert curve is the key.
+A document's vector counts its overlapping runs of 8 bytes, each hashed to a feature, and is projected to DIMENSIONS
+random directions; a feature's part in each is a byte of its hash. Each coordinate, the mean over the runs, is squashed
+to [0, 1), and the grid cell's place on the Hilbert curve is the key.
 Rows are dealt out by ranges of (key, doc_id), so a crowd of equal texts spreads over tasks, and each task packs
 its own stretch of the curve. Documents are cut wherever a sequence is full; what is left at the end of a stretch
 is cut into powers of two, which need no padding.
@@ -21,18 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import WordCodes, common_words, shuffle_partitions, text_or_empty
+from millrace.llm._common import shuffle_partitions, text_or_empty
 
 LENGTH = 2048
 END = 1
-BUCKETS = 4096
 DIMENSIONS = 4
 BITS = 15
-SEED = 20_26
-CACHED_CHUNKS = 200_000
+#: Bytes of a hashed run, the odd factor that hashes it, and how far means are apart that the curve tells well apart.
+RUN, FACTOR, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15), 3.0
+SOME_BYTES = 2_000_000
+CACHED_CHUNKS, CACHED_PIECES = 600_000, 400_000
 
 #: Python's split() takes these for white space; the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Fixed value: how the vocabulary's pre-tokenizer splits lower-cased text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that lower-casing and normalisation take one by one: ASCII, and precomposed Latin letters but one.
+_PLAIN = re.compile("[!-~À-įı-ɏ]+")
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,34 +67,39 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-@lru_cache(maxsize=1)
-def _projector():
-    directions = np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
-    return WordCodes(special=dict.fromkeys(common_words(), 0)), directions
-
-
-def project(text: str) -> np.ndarray:
-    """The coordinates of a text's hashed word vector; frequent function words have no weight."""
-    words, directions = _projector()
-    codes = words.codes(text)
-    codes = codes[codes != 0]
-    if not len(codes):
-        return np.zeros(DIMENSIONS)
-    counts = np.bincount((codes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    met = np.flatnonzero(counts)
-    weights = np.sqrt(counts[met])
-    return weights @ directions[met] / np.sqrt(counts.sum())
-
-
-def curve_keys(texts: list[str]) -> np.ndarray:
-    spots = np.array([project(t) for t in texts]).reshape(-1, DIMENSIONS)
-    unit = 1 / (1 + np.exp(-1.702 * spots))  # near the normal distribution function
+def project(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The coordinates of texts that lie one behind the other in data, as UTF-8; starts has one place more than texts."""
+    spots = np.zeros((len(starts) - 1, DIMENSIONS))
+    long = np.flatnonzero(np.diff(starts) >= RUN)
+    if not len(long):
+        return spots
+    for some in np.array_split(long, max(1, int(np.diff(starts)[long].sum()) // SOME_BYTES)):
+        first, last = int(starts[some[0]]), int(starts[some[-1] + 1])
+        runs = np.ndarray(last - first - RUN + 1, "<u8", data[first:last].tobytes(), strides=(1,))
+        features = ((runs * FACTOR) >> np.uint64(32)).astype("<u4").view(np.int8).reshape(-1, DIMENSIONS)
+        begin, end = starts[some] - first, starts[some + 1] - first - RUN + 1
+        total = np.add.reduceat(features, np.minimum(np.ravel(np.column_stack([begin, end])), len(features) - 1), axis=0, dtype=np.int64)[::2]
+        if end[-1] == len(features):  # reduceat can't end behind the last run, so that run is missing
+            total[-1] += features[-1]
+        spots[some] = total / (end - begin)[:, None]
+    return spots
+
+
+def curve_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places on the curve. Texts of fewer bytes than a run lie in the middle."""
+    unit = 1 / (1 + np.exp(-project(data, starts) / SPREAD))
     return hilbert_index(np.minimum(unit * (1 << BITS), (1 << BITS) - 1).astype(np.uint64), BITS).astype(np.int64)
 
 
 @F.arrow_udf(T.LongType())
 def curve_key(text: pa.Array) -> pa.Array:
-    return pa.array(curve_keys([t or "" for t in text.to_pylist()]), pa.int64())
+    text = text.cast(pa.large_string())
+    _, starts, data = text.buffers()
+    if not len(text):
+        return pa.array([], pa.int64())
+    starts = np.frombuffer(starts, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return pa.array(curve_keys(data, starts), pa.int64())
 
 
 def along_curve(docs: DataFrame) -> DataFrame:
@@ -100,41 +111,84 @@ def along_curve(docs: DataFrame) -> DataFrame:
 
 
 class Ids:
-    """Ids of texts by a tokenizers file whose pre-tokenizer never joins words across white space, with a bounded cache."""
+    """Ids of texts by a tokenizers file of lower-cased words with an end mark, split as PIECES says.
+
+    White-space chunks, and the pieces of plain chunks, are encoded once and kept in bounded caches. New pieces are
+    encoded many at a time, as one text: each piece ends in the one id that ends a word. Other chunks, and texts with
+    characters that only Python calls white space, go through the tokenizer as they are.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        self.pieces_of = regex.compile(PIECES).findall
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > CACHED_PIECES:
+            self.pieces.clear()
+        ids = np.frombuffer(self._encode([" ".join(new)])[0], "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) == len(new) and (not len(last) or last[-1] == len(ids)):
+            data, at = ids.tobytes(), [0, *(4 * last).tolist()]
+            self.pieces.update((p, data[i:j]) for p, i, j in zip(new, at, at[1:], strict=False))
+        else:
+            self.pieces.update(zip(new, self._encode(new), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        words, more, odd = {}, {}, []  # chunks of one piece, of several, and those that the tokenizer has to see
+        for c in new:
+            if not _PLAIN.fullmatch(c):
+                odd.append(c)
+            elif c.isalpha():
+                words[c] = c.lower()
+            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
+                more[c] = (c[:-1].lower(), c[-1])
+            elif "<|" in c:
+                odd.append(c)
+            else:
+                more[c] = self.pieces_of(c.lower())
+        wanted = set(words.values()).union(*more.values())
+        missing = list(wanted.difference(self.pieces))
+        if len(self.pieces) + len(missing) > CACHED_PIECES:
+            self.pieces.clear()
+            missing = list(wanted)
+        if missing:
+            self._learn_pieces(missing)
+        get = self.pieces.__getitem__
+        self.chunks.update(zip(words, map(get, words.values()), strict=True))
+        self.chunks.update((c, b"".join(map(get, found))) for c, found in more.items())
+        if odd:
+            self.chunks.update(zip(odd, self._encode(odd), strict=True))
+
     def of(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        odd = [k for k, t in enumerate(texts) if _ODD_SPACE.search(t)]
-        whole = dict(zip(odd, self._encode([texts[k] for k in odd]), strict=True))
-        out = []
-        for k, text in enumerate(texts):
-            if k in whole:
-                out.append(whole[k])
-                continue
-            chunks = text.split()
-            missing = list({c for c in chunks if c not in cache})
-            if len(cache) + len(missing) > CACHED_CHUNKS:
-                cache.clear()
-                missing = list(set(chunks))
-            if missing:
-                cache.update(zip(missing, self._encode(missing), strict=True))
-            out.append(b"".join(map(cache.__getitem__, chunks)))
-        return out
+        odd = {k for k, t in enumerate(texts) if _ODD_SPACE.search(t)}
+        whole = dict(zip(sorted(odd), self._encode([texts[k] for k in sorted(odd)]), strict=True))
+        split = [[] if k in odd else t.split() for k, t in enumerate(texts)]
+        wanted = set().union(*split)
+        new = wanted.difference(self.chunks)
+        if len(self.chunks) + len(new) > CACHED_CHUNKS:
+            self.chunks.clear()
+            new = wanted
+        if new:
+            self._learn(list(new))
+        get = self.chunks.__getitem__
+        return [whole[k] if k in odd else b"".join(map(get, found)) for k, found in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
@@ -206,8 +260,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
 
         for batch in batches:
             rows = []
-            for k in range(0, batch.num_rows, 64):
-                some = batch.slice(k, 64)
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
                 for doc_id, data in zip(some.column(0).to_pylist(), ids.of([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     rows += packer.add(doc_id, data + close)
             if rows:
