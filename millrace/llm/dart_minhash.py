@@ -253,8 +253,7 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one whose doc_id names it. Rows without a doc_id stay, and repeats of a row go."""
+    """docs with one row of each class: the one whose doc_id names it. Rows without a doc_id stay, and so do repeats of a row that stays."""
     members, _ = near_duplicates(docs)
     gone = materialise(members.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -137,7 +137,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the lines at the (doc_id, row_key, pos) of gone; n_lines and n_dropped beside."""
     places = gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     text = text_or_empty()
-    d = docs.drop("n_lines", "n_dropped", "row_key", "_gone", "_lines")
+    d = docs.drop("n_lines", "n_dropped", "row_key", "_gone", "_lines", "_id", "_key")
     keep = d.columns
     d = d.withColumn("row_key", F.xxhash64(text))
     d = d.join(
@@ -168,7 +168,7 @@ def drop_repeated(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATC
     The lines' hashes are read once and enter the runs batch by batch; what the runs then hold as repeated
     takes its lines out of the texts. Null texts become one empty line; rows that share a doc_id count each,
     and all of them keep a key's lines if that doc_id is the largest; null doc_ids count, and hold no key;
-    an empty table stays empty; columns pass through, but for n_lines and n_dropped.
+    an empty table stays empty; columns pass through, but for n_lines, n_dropped, row_key, _gone, _lines, _id and _key.
     """
     spark = docs.sparkSession
     rows = long_lines(docs).withColumn("batch", F.pmod(F.col("row_key"), F.lit(batches)).cast("int"))

@@ -192,7 +192,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, **bounds) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in brackets; spans that overlap become one."""
+    """docs with each span of personal data replaced by its kind in brackets; spans that overlap become one.
+
+    A null text stays null; other columns pass through, but for _k, _id, _key and _s.
+    """
     spans = find(docs, **bounds).select(
         F.col("doc_id").alias("_id"),
         F.col("row_key").alias("_key"),
@@ -200,6 +203,7 @@ def redact(docs: DataFrame, **bounds) -> DataFrame:
     )
     spans = spans.filter(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
     text = text_or_empty()
+    docs = docs.drop("_k", "_id", "_key", "_s")
     d = docs.withColumn("_k", F.xxhash64(text))
     d = d.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])

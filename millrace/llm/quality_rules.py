@@ -34,6 +34,9 @@ DEFAULT_RULES = (
 )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WORD_SPACE)) != "")
 
@@ -44,6 +47,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text has no words. Repeated windows are found by sorting 64-bit codes of the text's
     own 3-word windows, so nothing is shuffled and the work is n log n in the words of one text.
     """
+    docs = docs.drop(*MEASURES, "_words", "_lines", "_sorted", "_same")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     trimmed = F.btrim(whole, F.lit(WORD_SPACE))
     stop = F.array(*map(F.lit, common_words()))
@@ -108,7 +112,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame
     Null and empty texts have no words and fail the base; repeated rows are judged each; an empty table
     gives an empty one; other columns pass through.
     """
-    own = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"}
-    docs = docs.drop(*[c for c in docs.columns if c in own or c in ("_words", "_lines", "_sorted", "_same")])
-    d = measures(docs)
+    d = measures(docs.drop("base_failed", "kept"))
     return d.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & compile_rules(rules)})

@@ -31,3 +31,48 @@ def pii_spans(text):
             ):
                 out.append(f"{kind}:{m.start()}:{m.end()}")
     return ",".join(out)
+
+
+def keys_of(text):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return [line.strip(" \t\n\x0b\x0c\r").translate(lower) for line in text.split("\n")]
+
+
+def dropped_lines(rows):
+    """rows: (doc_id, text). The kept text of each row, by the rule of three rows and the largest doc_id."""
+    holders = {}
+    for doc_id, text in rows:
+        for key in set(keys_of(text or "")):
+            if len(key) >= 20:
+                holders.setdefault(key, []).append(doc_id)
+    out = []
+    for doc_id, text in rows:
+        lines, keys = (text or "").split("\n"), keys_of(text or "")
+        gone = [len(h := holders.get(k, [])) >= 3 and doc_id != max((x for x in h if x is not None), default=None) for k in keys]
+        out.append((doc_id, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return out
+
+
+def quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = {}
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def components(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
