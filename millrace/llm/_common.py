@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 EDGE = string.punctuation + "¿¡«»„“”‘’‚‹›…–—·•"
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Says that this process keeps caches for `name`; those that other operators left in it are released."""
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
+
+
 class WordCodes(dict):
     """White-space chunk -> 64-bit code of its lower-cased word without edge punctuation; 0 if none is left.
 
@@ -106,13 +117,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Odd factors that tell a shingle's places apart.
+_PLACES = mix64(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_codes(codes: np.ndarray, width: int = 5) -> np.ndarray:
     """64-bit codes of the runs of `width` words; a text of fewer words is one shingle, no words none."""
     n = len(codes)
     if n == 0:
         return codes
     width = min(width, n)
-    out = np.zeros(n - width + 1, np.uint64)
+    out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
-        out = mix64(out + codes[k : n - width + 1 + k] + np.uint64(k + 1))
-    return out
+        out += codes[k : n - width + 1 + k] * _PLACES[k % len(_PLACES)]
+        if k % len(_PLACES) == len(_PLACES) - 1:
+            out = mix64(out)
+    return mix64(out)

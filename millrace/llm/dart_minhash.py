@@ -7,9 +7,11 @@ weighted Jaccard similarity. Only about k ln k darts are thrown at a text, howev
 rising order until every coordinate is hit.
 
 Texts that share a band of coordinates are candidates, and candidates are compared by all their shingles. Inside a
-band's bucket everyone is first compared with two leaders; components of what proves alike are then found, and only
-buckets that still hold several components go on, where blocks of signatures are compared across components.
-So a crowd of copies costs a few comparisons each, and no pair that shares a bucket goes unexamined.
+band's bucket everyone is first compared with two leaders; components of what proves alike are then found. Buckets that
+still hold several components meet other leaders, in ROUNDS rounds. What is mixed then is compared in full: in each
+bucket the rows outside its largest component meet all its rows, by signature and then by shingles, and a row yields
+one link to each component that it proves alike to. So a crowd of copies costs a few comparisons each, no pair that
+shares a bucket goes unexamined, and no group is written out in pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import WordCodes, materialise, mix64, shingle_codes, text_or_empty
+from millrace.llm._common import WordCodes, hold, materialise, mix64, shingle_codes, text_or_empty
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -31,7 +33,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: A signature estimate this many standard deviations below the threshold rules a pair out.
 DEVIATIONS = 4.0
-BLOCK = 256
+#: Rounds of further leaders, leaders a round, and the rows of a bucket that one task compares.
+ROUNDS, LEADERS = 1, 2
+BLOCK = 2048
 
 _U = np.uint64
 #: Chances that a cell of area 1 holds up to 0, 1, 2, ... darts.
@@ -105,6 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        hold("dart", _words().clear)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -133,74 +138,124 @@ def _near_in_size(n, m):
     return F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-9
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) whose weighted Jaccard similarity is THRESHOLD or more. Only texts in a pair are read into shingles."""
-    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-needed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(needed, "id", "left_semi")
+def _held(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle codes and counts as _sets writes them; codes that share their high half are one."""
+    codes = np.frombuffer(e, "<u4")
+    counts = np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(codes), np.int64)
+    if len(codes) > 1 and (codes[1:] == codes[:-1]).any():
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        codes, counts = codes[first], np.add.reduceat(counts, first)
+    return codes, counts
+
+
+def _alike(a, b) -> bool:
+    return weighted_jaccard(*a, *b) >= THRESHOLD - 1e-9
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, e, c): the high halves of the shingle codes of the needed (id) texts, and the counts where they aren't all 1."""
 
     def read(batches):
+        hold("dart", _words().clear)
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    # the high half of a code, with its count where that isn't 1
                     pa.array([(e >> _U(32)).astype("<u4").tobytes() for e, _ in found], pa.binary()),
                     pa.array([b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c in found], pa.binary()),
                 ],
                 ["id", "e", "c"],
             )
 
-    sets = texts.mapInArrow(read, "id long, e binary, c binary").dropDuplicates(["id"])
-    sets = materialise(sets, "near-sets")
+    needed = materialise(needed.distinct(), "near-needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(needed.hint("merge"), "id", "left_semi")
+    return materialise(texts.mapInArrow(read, "id long, e binary, c binary").dropDuplicates(["id"]), "near-sets")
 
-    def held(e, c):
-        e = np.frombuffer(e, "<u4")
-        c = np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(e), np.int64)
-        if len(e) > 1 and (e[1:] == e[:-1]).any():  # codes that share their high half are one
-            first = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
-            e, c = e[first], np.add.reduceat(c, first)
-        return e, c
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) whose weighted Jaccard similarity is THRESHOLD or more. Only texts in a pair are read into shingles."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def compare(batches):
         for batch in batches:
             a, b, ea, ca, eb, cb = (x.to_pylist() for x in batch.columns)
-            keep = [weighted_jaccard(*held(w, x), *held(y, z)) >= THRESHOLD - 1e-9 for w, x, y, z in zip(ea, ca, eb, cb, strict=True)]
+            keep = [_alike(_held(w, x), _held(y, z)) for w, x, y, z in zip(ea, ca, eb, cb, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, k in zip(col, keep, strict=True) if k], pa.int64()) for col in (a, b)], ["a", "b"]
             )
 
-    one, two = (sets.select(F.col("id").alias(x), F.col("e").alias(f"e{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+    one, two = (sets.select(F.col("id").alias(x), F.col("e").alias(f"e{x}"), F.col("c").alias(f"c{x}")).hint("merge") for x in "ab")
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "ca", "eb", "cb")
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _across(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose signatures don't rule them out, from rows
-    (band, doc, n, component, sig). Buckets are cut into blocks, and each pair of blocks is one small task."""
-    sizes = materialise(rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-sizes")
-    d = rest.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n", "component", "sig")
+def _pairs(led: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, from (doc, n, l: struct of doc and n); pairs whose lengths rule them out are left out."""
+    fit = led.filter((F.col("l.doc") != F.col("doc")) & _near_in_size(F.col("l.n"), F.col("n")))
+    return materialise(fit.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct(), "near-pairs")
+
+
+def _mixed(in_bands: DataFrame, parts: DataFrame) -> DataFrame:
+    """(band, doc, n, component) of the buckets that hold more than one component."""
+    placed = in_bands.join(parts.withColumnRenamed("node", "doc").hint("merge"), "doc", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "doc")), "near-placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    return materialise(placed.join(materialise(mixed, "near-bands").hint("merge"), "band"), "near-mixed")
+
+
+def _across(mixed: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that tie components of mixed buckets together, from all pairs of rows of a bucket that are in
+    different components and share no earlier bucket.
+
+    A bucket's rows are dealt out in blocks; rows outside its largest component go to each of its blocks, as only they
+    have partners in every block. mixed is (band, doc, n, component), held (doc, bands, sig).
+    """
+    sizes = mixed.groupBy("band", "component").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("m", "component")).alias("x"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialise(sizes.select("band", F.col("x.component").alias("largest"), "blocks"), "near-sizes")
+    d = materialise(mixed.join(sizes.hint("merge"), "band"), "near-blocks")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    d = d.withColumns({"own": own, "small": F.col("component") != F.col("largest")})
+    d = d.withColumn("block", F.explode(F.when(F.col("small"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    sets = _sets(docs, mixed.select(F.col("doc").alias("id"))).withColumnRenamed("id", "doc")
+    facts = materialise(held.select("doc", "bands", "sig").join(sets.hint("merge"), "doc"), "near-facts")
+    d = d.select("band", "block", "own", "small", "doc", "n", "component").join(facts.hint("merge"), "doc")
     k = BANDS * ROWS
     least = (THRESHOLD - DEVIATIONS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / k)) * k
 
     def compare(table):
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, doc, n, part = (table.column(c).to_numpy() for c in ("own", "doc", "n", "component"))
-        sig = np.array([np.frombuffer(s, np.uint16) for s in table.column("sig").to_pylist()])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[right > x] if i == j else right
-            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            y = y[(part[y] != part[x]) & (small >= THRESHOLD * large - 1e-9)]
-            y = y[(sig[y] == sig[x]).sum(1) >= least] if len(y) else y
-            a += [int(min(doc[x], doc[v])) for v in y]
-            b += [int(max(doc[x], doc[v])) for v in y]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return d.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        block, band = table.column("block")[0].as_py(), table.column("band")[0].as_py()
+        own, small, doc, n, part = (table.column(c).to_numpy() for c in ("own", "small", "doc", "n", "component"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(doc), -1)
+        here = int(np.flatnonzero(bands[0] == band)[0])
+        sets = [None] * len(doc)
+
+        def shingles_of(i):
+            if sets[i] is None:
+                sets[i] = _held(table.column("e")[i].as_py(), table.column("c")[i].as_py())
+            return sets[i]
+
+        links = []
+        mine = own == block
+        for x in np.flatnonzero(small):
+            # a pair of small rows is met in both rows' blocks; the row of smaller id looks for it
+            y = np.flatnonzero(mine & (part != part[x]) & (~small | (doc > doc[x])))
+            lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            y = y[lo >= THRESHOLD * hi - 1e-9]
+            near = (sig[y] == sig[x]).sum(1)
+            y, near = y[near >= least], near[near >= least]
+            y = y[np.argsort(-near, kind="stable")]
+            y = y[~(bands[y, :here] == bands[x, :here]).any(1)] if here else y
+            tied = set()
+            for v in y:
+                if part[v] not in tied and _alike(shingles_of(x), shingles_of(v)):
+                    tied.add(part[v])
+                    links.append((min(int(doc[x]), int(doc[v])), max(int(doc[x]), int(doc[v]))))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return d.groupBy("band", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,26 +272,34 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = materialise(reps.select("k1", "k2", F.col("r.doc_id").alias("doc"), "r.n", "r.bands", "r.sig"), "near-reps")
     held = reps.filter("doc IS NOT NULL")
     in_bands = held.select(F.explode("bands").alias("band"), "doc", "n")
-    by_hash = F.struct(F.xxhash64("doc").alias("h"), F.col("doc"), F.col("n"))
-    leaders = in_bands.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("x"), F.min(by_hash).alias("y"), F.count("*").alias("m"))
-    leaders = materialise(
-        leaders.filter("m > 1").select("band", F.struct(F.col("x.doc"), F.col("x.n")).alias("x"), F.struct(F.col("y.doc"), F.col("y.n")).alias("y")), "near-leaders"
-    )
-    crowded = materialise(in_bands.join(leaders, "band").select("band", "doc", "n", "x", "y"), "near-crowded")
-    led = crowded.select("doc", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("l")).filter(
-        (F.col("l.doc") != F.col("doc")) & _near_in_size(F.col("l.n"), F.col("n"))
-    )
-    pairs = materialise(led.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct(), "near-pairs")
+    both = F.struct("doc", "n")
+
+    def by_hash(salt: int):
+        return F.min(F.struct(F.xxhash64(F.lit(salt), "doc").alias("h"), both.alias("l")))
+
+    leaders = in_bands.groupBy("band").agg(F.min(both).alias("x"), by_hash(0).alias("y"), F.count("*").alias("m")).filter("m > 1")
+    leaders = materialise(leaders.select("band", F.array("x", "y.l").alias("ls")), "near-leaders")
+    crowded = materialise(in_bands.join(leaders.hint("merge"), "band"), "near-crowded")
+    pairs = _pairs(crowded.select("doc", "n", F.explode("ls").alias("l")))
     links = materialise(_verified(pairs, docs), "near-links")
     parts = materialise(components(links), "near-parts")
-    placed = crowded.select("band", "doc", "n").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-    placed = materialise(placed.withColumn("component", F.coalesce("component", "doc")), "near-placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    mixed = materialise(mixed, "near-mixed")
-    rest = placed.join(mixed, "band").join(held.select("doc", "sig"), "doc").select("band", "doc", "n", "component", "sig")
-    more = materialise(_across(rest).join(pairs, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        links = materialise(links.union(_verified(more, docs)), "near-links")
+    mixed = _mixed(crowded.select("band", "doc", "n"), parts)
+    for k in range(ROUNDS):
+        found = [by_hash(1 + k * LEADERS + j).alias(f"l{j}") for j in range(LEADERS)]
+        leaders = materialise(mixed.groupBy("band").agg(*found).select("band", F.array(*[f"l{j}.l" for j in range(LEADERS)]).alias("ls")), "near-leaders")
+        whole = mixed.join(leaders.hint("merge"), "band").select("doc", "n", "component", F.explode("ls").alias("l"))
+        theirs = parts.select(F.col("node").alias("_of"), F.col("component").alias("_led")).hint("merge")
+        apart = whole.join(theirs, F.col("l.doc") == F.col("_of"), "left").filter(F.coalesce("_led", "l.doc") != F.col("component"))
+        new = _pairs(apart.select("doc", "n", "l")).join(pairs.hint("merge"), ["a", "b"], "left_anti")
+        new = materialise(new, "near-pairs")
+        if new.isEmpty():
+            break
+        pairs = materialise(pairs.unionByName(new), "near-pairs")
+        links = materialise(links.unionByName(_verified(new, docs)), "near-links")
+        parts = materialise(components(links), "near-parts")
+        mixed = _mixed(mixed.select("band", "doc", "n"), parts)
+    if not mixed.isEmpty():
+        links = materialise(links.unionByName(_across(mixed, held, docs)).distinct(), "near-links")
         parts = materialise(components(links), "near-parts")
     classes = reps.join(parts.withColumnRenamed("node", "doc"), "doc", "left")
     classes = materialise(classes.select("k1", "k2", "doc", F.coalesce("component", "doc").alias("class_id")), "near-classes")
