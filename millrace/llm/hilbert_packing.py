@@ -4,8 +4,8 @@ and neighbours on the curve are packed into sequences one behind the other.
 A document's vector counts its overlapping runs of 8 bytes, each hashed to a feature, and is projected to DIMENSIONS
 random directions; a feature's part in each is a byte of its hash. Each coordinate, the mean over the runs, is squashed
 to [0, 1), and the grid cell's place on the Hilbert curve is the key.
-Rows are dealt out by ranges of (key, doc_id), so a crowd of equal texts spreads over tasks, and each task packs
-its own stretch of the curve. Documents are cut wherever a sequence is full; what is left at the end of a stretch
+Rows are dealt out by ranges of (key, doc_id) of about equal bytes, so a crowd of equal texts spreads over tasks, and
+each task packs its own stretch of the curve. Documents are cut wherever a sequence is full; what is left at the end of a stretch
 is cut into powers of two, which need no padding.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import shuffle_partitions, text_or_empty
+from millrace.llm._common import hold, shuffle_partitions, text_or_empty
 
 LENGTH = 2048
 END = 1
@@ -33,7 +33,7 @@ BITS = 15
 #: Bytes of a hashed run, the odd factor that hashes it, and how far means are apart that the curve tells well apart.
 RUN, FACTOR, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15), 3.0
 SOME_BYTES = 2_000_000
-CACHED_CHUNKS, CACHED_PIECES = 900_000, 600_000
+CACHED_CHUNKS, CACHED_PIECES = 600_000, 400_000
 
 #: Python's split() takes these for white space; the tokenizers don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -104,12 +104,47 @@ def curve_key(text: pa.Array) -> pa.Array:
     return pa.array(curve_keys(data, starts), pa.int64())
 
 
+#: Rows of the sample that balances the stretches, for each stretch; and stretches at most.
+SAMPLED, MOST_STRETCHES = 50, 32_768
+
+
+def _bounds(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(curve, doc_id) at which each stretch but the first begins, so that n stretches have about as many bytes each.
+
+    They come from a sample of about SAMPLED rows a stretch, drawn by a hash. It decides on balance alone: every row is
+    packed, wherever the bounds are.
+    """
+    rows = docs.count()
+    if n < 2 or not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = min(1.0, SAMPLED * n / rows)
+    coin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    drawn = docs.filter(coin).select(curve_key("text").alias("curve"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.length("text").alias("size"))
+    drawn = sorted(tuple(r) for r in drawn.limit(4 * SAMPLED * n).collect())
+    if not drawn:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.cumsum([r[2] + 40 for r in drawn])
+    at = np.unique(np.searchsorted(total, total[-1] * np.arange(1, n) / n))
+    return tuple(np.array([drawn[k][c] for k in at], np.int64) for c in (0, 1))
+
+
 def along_curve(docs: DataFrame) -> DataFrame:
     """(doc_id, text, curve) dealt out and sorted by the curve; ties go by doc_id, then by text."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    n = min(shuffle_partitions(docs.sparkSession), MOST_STRETCHES)
+    curves, ids = _bounds(d, n)
+
+    @F.arrow_udf("int")
+    def stretch_of(curve: pa.Array, place: pa.Array) -> pa.Array:
+        curve, place = (x.to_numpy(zero_copy_only=False) for x in (curve, place))
+        lo, hi = np.searchsorted(curves, curve, "left"), np.searchsorted(curves, curve, "right")
+        for k in np.flatnonzero(lo < hi):  # on a bound: the ids of equal curves decide
+            lo[k] += np.searchsorted(ids[lo[k] : hi[k]], place[k], "right")
+        return pa.array(lo, pa.int32())
+
     d = d.withColumn("curve", curve_key("text"))
-    n = shuffle_partitions(docs.sparkSession)
-    return d.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    d = d.withColumn("stretch", stretch_of("curve", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    return d.repartitionById(n, F.col("stretch")).sortWithinPartitions("curve", "doc_id", "text")
 
 
 class Ids:
@@ -256,6 +291,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
 
     def run(batches):
         gc.set_threshold(200_000)  # the caches are large and hold no cycles
+        hold("packing", _ids.cache_clear)
         ids, close = _ids(vocabulary), int(end).to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, length)
 
