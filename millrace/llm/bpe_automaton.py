@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm._common import hold
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,7 +32,7 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 _NEVER = 1 << 60
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 CACHED_ARCS = 2_000_000
 
 
@@ -195,6 +197,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
 
     def run(batches):
         automaton = _compiled(spec.value)
+        hold("bpe", _compiled.cache_clear)
         for batch in batches:
             ids = [automaton.encode(t or "") for t in batch.column(1).to_pylist()]
             texts = [automaton.decode(x) for x in ids]

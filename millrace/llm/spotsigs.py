@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import WordCodes, common_words, materialise, mix64, shingle_codes, shuffle_partitions, text_or_empty
+from millrace.llm._common import WordCodes, common_words, hold, materialise, mix64, shingle_codes, shuffle_partitions, text_or_empty
 
 CHAIN = 2
 DISTANCE = 1
@@ -146,6 +146,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in EDIT_SCHEMA.split(", ")]
 
     def run(batches):
+        hold("spotsigs", _words().clear)
         waiting = None  # stretch, doc_id, text, signature
         for batch in batches:
             rows = []
