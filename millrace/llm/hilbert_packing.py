@@ -93,15 +93,18 @@ def curve_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return hilbert_index(np.minimum(unit * (1 << BITS), (1 << BITS) - 1).astype(np.uint64), BITS).astype(np.int64)
 
 
-@F.arrow_udf(T.LongType())
-def curve_key(text: pa.Array) -> pa.Array:
+def _curve_of(text: pa.Array) -> np.ndarray:
     text = text.cast(pa.large_string())
-    _, starts, data = text.buffers()
     if not len(text):
-        return pa.array([], pa.int64())
+        return np.zeros(0, np.int64)
+    _, starts, data = text.buffers()
     starts = np.frombuffer(starts, np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return pa.array(curve_keys(data, starts), pa.int64())
+    return curve_keys(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), starts)
+
+
+@F.arrow_udf(T.LongType())
+def curve_key(text: pa.Array) -> pa.Array:
+    return pa.array(_curve_of(text), pa.int64())
 
 
 #: Rows of the sample that balances the stretches, for each stretch; and stretches at most.
@@ -134,16 +137,15 @@ def along_curve(docs: DataFrame) -> DataFrame:
     n = min(shuffle_partitions(docs.sparkSession), MOST_STRETCHES)
     curves, ids = _bounds(d, n)
 
-    @F.arrow_udf("int")
-    def stretch_of(curve: pa.Array, place: pa.Array) -> pa.Array:
-        curve, place = (x.to_numpy(zero_copy_only=False) for x in (curve, place))
+    @F.arrow_udf("struct<curve:long,stretch:int>")
+    def place_of(text: pa.Array, place: pa.Array) -> pa.Array:
+        curve, place = _curve_of(text), place.to_numpy(zero_copy_only=False)
         lo, hi = np.searchsorted(curves, curve, "left"), np.searchsorted(curves, curve, "right")
         for k in np.flatnonzero(lo < hi):  # on a bound: the ids of equal curves decide
             lo[k] += np.searchsorted(ids[lo[k] : hi[k]], place[k], "right")
-        return pa.array(lo, pa.int32())
+        return pa.StructArray.from_arrays([pa.array(curve, pa.int64()), pa.array(lo, pa.int32())], ["curve", "stretch"])
 
-    d = d.withColumn("curve", curve_key("text"))
-    d = d.withColumn("stretch", stretch_of("curve", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    d = d.withColumn("at", place_of("text", F.coalesce("doc_id", F.lit(-(1 << 63))))).select("doc_id", "text", "at.curve", "at.stretch")
     return d.repartitionById(n, F.col("stretch")).sortWithinPartitions("curve", "doc_id", "text")
 
 
