@@ -129,3 +129,30 @@ def test_passages_of_nothing(edge, empty):
 @pytest.mark.parametrize("a,b,want", [(range(60), range(60), [(0, 60, 0, 60, 1.0)]), (range(60), range(100, 160), []), ([], [], []), (range(45), range(45), [])])
 def test_passages(a, b, want):
     assert cw.passages(np.array(a, np.uint32), np.array(b, np.uint32)) == want
+
+
+def uncovered(a, b, room):
+    """Windows of a that b holds word for word and no passage covers."""
+    held = {b[j : j + room].tobytes() for j in range(len(b) - room + 1)}
+    spans = [p[:2] for p in cw.passages(a, b)]
+    return [i for i in range(len(a) - room + 1) if a[i : i + room].tobytes() in held and not any(x <= i and i + room <= y for x, y in spans)]
+
+
+def test_passages_that_occur_again_equal_brute_force():
+    rng = np.random.default_rng(11)
+    room = cw.LEAST_WORDS - cw.WIDTH + 1
+
+    def seq(text):
+        return (cw.sequence(" ".join(text)) >> np.uint64(32)).astype(np.uint32)
+
+    p = words(200, 54)
+    titled, once = seq(p[:10] + words(201, 70) + p), seq(p)
+    assert cw.passages(titled, once) == [(80, 130, 0, 50, 1.0)]
+    twice = seq(p + words(202, 40) + p)
+    assert {x[:2] for x in cw.passages(twice, once)} == {(0, 50), (94, 144)}
+    parts = [words(300 + k, int(n)) for k, n in enumerate(rng.integers(8, 90, 8))]
+    for _ in range(150):
+        a, b = (seq([w for k in rng.integers(0, 8, 7) for w in parts[k]]) for _ in range(2))
+        assert not uncovered(a, b, room) and not uncovered(b, a, room)
+    page = seq(["word"] * 5000)
+    assert cw.passages(page, page[:3000])
