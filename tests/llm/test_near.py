@@ -156,3 +156,32 @@ def test_passages_that_occur_again_equal_brute_force():
         assert not uncovered(a, b, room) and not uncovered(b, a, room)
     page = seq(["word"] * 5000)
     assert cw.passages(page, page[:3000])
+
+
+def test_formula_of_many_hides_no_passage_of_two(spark):
+    formula = words(400, 40)
+    rows = [(i, " ".join(words(500 + 2 * i, 30) + formula + words(501 + 2 * i, 40))) for i in range(120)]
+    want = set()
+    for k in range(15):
+        tail = words(800 + k, 10)
+        for i in (200 + 2 * k, 201 + 2 * k):
+            rows.append((i, " ".join(words(900 + i, 30) + formula + tail + words(2000 + i, 40))))
+            want.add(i)
+    found = cw.memberships(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == {(i, 30, 80) for i in want}
+
+
+def test_blocks_of_a_signature_meet():
+    rng = np.random.default_rng(13)
+    parts = [rng.integers(0, 2**32, 60).astype(np.uint32) for _ in range(12)]
+    parts[7] = parts[2].copy()
+    parts[9] = parts[4].copy()
+    parts[9][30] = 5  # alike, but no 46 shingles in a row are equal
+    doc, open_ = np.arange(12) * 10, np.ones(12, bool)
+    assert cw.across(doc, open_, np.zeros(12, int), parts) == [(20, 70), (40, 90)]
+    own = np.array([0, 1] * 6)
+    assert cw.across(doc, open_, own, parts) == [(20, 70), (40, 90)]
+    own[7] = own[2]
+    assert cw.across(doc, open_, own, parts) == [(40, 90)]
+    open_[[2, 4]] = False
+    assert cw.across(doc, open_, np.zeros(12, int), parts) == [(20, 70), (40, 90)]
