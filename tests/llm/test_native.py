@@ -98,6 +98,14 @@ def test_mined_rules_block_by_index(spark):
     assert all((v == "block") == (i < 100 or i == 900) for i, v in got.items())
 
 
+def test_mined_rules_see_query_fragment_and_ending(spark):
+    for bad, good in (("page?ad=win&n=3", "page?ad=tea&n=3"), ("page#win", "page#tea"), ("page.EXE", "page.html")):
+        rows = [(i, f"http://a.example.com/en/{bad if i < 30 else good}") for i in range(60)]
+        labels = spark.createDataFrame([(i, i < 30) for i in range(0, 60, 2)], "page_id long, bad boolean")
+        got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, min_support=0.1).collect()
+        assert all((r["verdict"] == "block") == (r["page_id"] < 30) for r in got) and len(got) == 60
+
+
 def test_pii_base_equals_brute_force(spark, texts, edge, edge_rows):
     odd = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1", "1" * 20_000, "a.a." * 4000 + "@b" + ".c" * 4000, "4111 1111 1111 1111", "+1 (042) 555-7845 +12"]
     rows = [*texts.items(), *((10_000 + i, t) for i, t in enumerate(odd))]
