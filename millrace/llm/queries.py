@@ -91,7 +91,7 @@ def op9(spark, sf_dir):
 
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [
-        F.size(F.filter("base", pii.is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
+        F.size(F.filter("base", pii.is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.BASE_KINDS)
     ]
     return found.select(
         "doc_id",

@@ -113,7 +113,7 @@ def test_pii_base_equals_brute_force(spark, texts, edge, edge_rows):
     got = {r["doc_id"]: r["s"] for r in pii_bootstrap.find(d).select("doc_id", pii_bootstrap.spans_text(F.col("base")).alias("s")).collect()}
     assert got == {i: brute.pii_spans(t) for i, t in rows}
     found = pii_bootstrap.find(edge).collect()
-    assert len(found) == len(edge_rows) and not any(r["base"] for r in found)
+    assert len(found) == len(edge_rows) and not any(r["base"] or r["added"] for r in found)
 
 
 def test_pii_of_nothing(empty):
@@ -122,15 +122,55 @@ def test_pii_of_nothing(empty):
 
 def test_context_finds_unseen_identifiers(spark):
     seeds = [(i, f"please call the office number +1 ({200 + i}) 555-{1000 + i} before noon") for i in range(12)]
-    more = [(50, "please call the office number (212) 555-9876 before noon"), (51, "a measured height of (212) 555-9876 millimetres")]
+    more = [
+        (50, "please call the office number (212) 555-9876 before noon"),
+        (51, "a measured height of (212) 555-9876 millimetres"),
+        (52, "please call the office number ring-0042-ext before noon"),  # found by its place, whatever its looks
+        (53, "please call the office number 12 before noon"),
+    ]
     d = spark.createDataFrame(seeds + more, "doc_id long, text string")
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in pii_bootstrap.find(d).collect()}
     text = more[0][1]
-    assert [text[a:b] for a, b in got[50]] == ["(212) 555-9876"] and got[51] == []
+    assert [text[a:b] for a, b in got[50]] == ["(212) 555-9876"] and got[51] == [] == got[53]
+    assert [more[2][1][a:b] for a, b in got[52]] == ["ring-0042-ext"]
     clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(d).collect()}
     assert clean[0] == "please call the office number [PHONE] before noon" == clean[50] and clean[51] == more[1][1]
 
 
+def test_found_identifiers_bear_out_other_contexts(spark):
+    """Strings found by one context make a second context's pattern, which holds no seed, and that finds others."""
+    rows = [(i, f"reach me at phone {'+1 ' if i < 30 else ''}(200) 555-{1000 + i} please thanks") for i in range(40)]
+    rows += [(100 + i, f"our desk switchboard: (200) 555-{1030 + i} is open") for i in range(10)]
+    rows += [(200, "our desk switchboard: (200) 777-0000 is open")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["added"] for r in pii_bootstrap.find(d).collect()}
+    assert len(got[35]) == 1 and len(got[200]) == 1 and got[200][0]["kind"] == 3
+
+
+def test_added_spans_equal_brute_force(spark, texts):
+    rows = list(texts.items())[:120]
+    rows += [(10_000 + i, f"please call the office number {'+1 ' if i % 4 else ''}(200) 555-{1000 + i} before noon") for i in range(24)]
+    rows += [(10_100 + i, f"ping host 10.0.{i}.{255 if i % 5 else 999} now\nkey=AKIA{i:016d} or pass: deadbeef{i:08d}") for i in range(30)]
+    rows += [(10_200, "key=zzzz-9999-yyyy or key=12345 and mail a.b@c.de, mail x_9@y"), (10_201, "1 2 3 " * 40), (10_202, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in pii_bootstrap.find(d).collect()}
+    want = brute.pii_added(rows)
+    assert got == want and any(k < 4 for x in want.values() for k, _, _ in x)
+
+
+def test_pii_of_long_texts(spark):
+    import time
+
+    numbers = " ".join(str(10_000 + i % 90_000) for i in range(160_000))
+    mails = "é " + " ".join(f"u{i}@m.example.com" for i in range(8000))
+    d = spark.createDataFrame([(1, numbers), (2, mails), (3, "a" * 500_000), (4, "a@b" + ".c" * 200_000), (5, "deadbeef1" * 60_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (len(r["base"]), len(r["added"])) for r in pii_bootstrap.find(d).collect()}
+    assert got == {1: (0, 0), 2: (8000, 0), 3: (0, 0), 4: (1, 0), 5: (0, 1)} and time.time() - began < 120
+    clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(d).collect()}
+    assert clean[1] == numbers and clean[2] == "é " + " ".join(["[EMAIL]"] * 8000) and clean[5] == "[SECRET]"
+
+
 @pytest.mark.parametrize("text,want", [("a x@y.zz b", "a [EMAIL] b"), (None, None), ("", ""), ("call +1 222 333 4444 x@y.zz", "call [PHONE] [EMAIL]")])
 def test_redaction(spark, text, want):
     d = spark.createDataFrame([(1, text, "k")], "doc_id long, text string, _s string")
