@@ -93,19 +93,60 @@ def test_mined_rules_block_by_index(spark):
     good = [(100 + i, f"http://m.garden.example.com/en/{i}") for i in range(30)]
     pages = spark.createDataFrame([*bad, *good, (900, "http://www.casino-win.org/x"), (901, "http://www.garden.org/x")], "page_id long, url string")
     labels = spark.createDataFrame([(i, True) for i, _ in bad] + [(i, False) for i, _ in good], "page_id long, bad boolean")
-    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels, min_support=0.1).collect()}
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
     assert got[900] == "block" and got[901] == "allow"
     assert all((v == "block") == (i < 100 or i == 900) for i, v in got.items())
 
 
 def test_mined_rules_see_query_fragment_and_ending(spark):
     for bad, good in (("page?ad=win&n=3", "page?ad=tea&n=3"), ("page#win", "page#tea"), ("page.EXE", "page.html")):
-        rows = [(i, f"http://a.example.com/en/{bad if i < 30 else good}") for i in range(60)]
-        labels = spark.createDataFrame([(i, i < 30) for i in range(0, 60, 2)], "page_id long, bad boolean")
-        got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, min_support=0.1).collect()
+        rows = [(i, f"http://a.example.com/en/{i}/{bad if i < 30 else good}") for i in range(60)]
+        labels = spark.createDataFrame([(i, i < 30) for i in range(60)], "page_id long, bad boolean")
+        got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
         assert all((r["verdict"] == "block") == (r["page_id"] < 30) for r in got) and len(got) == 60
 
 
+def test_labels_that_say_nothing_of_urls_give_no_rule(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(i, f"http://www.{r.choice('abcdefgh')}.example.com/{r.choice('xyz')}/{r.choice('klmn')}?q={r.choice('uvw')}", r.random() < 0.3) for i in range(3000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    assert url_rules.mine(url_rules.parse(d)).count() == 0
+
+
+def test_mined_rules_equal_brute_force(spark):
+    import itertools
+    import math
+    import random
+
+    def sure(bad, n, z=url_rules.SIGMAS):
+        p = bad / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) >= url_rules.MIN_CONFIDENCE
+
+    r = random.Random(5)
+    rows = []
+    for i in range(600):
+        words = r.sample(["win", "bet", "tea", "cup", "sun", "sea"], 3)
+        bad = {"win", "bet"} <= set(words) or ("sun" in words and r.random() < 0.1)
+        rows.append((i, "http://h.example.com/" + "/".join(words) + f"/n{chr(97 + i % 26)}{chr(97 + i // 26)}", bad))
+    # one long URL, and copies of it that differ in one word: 2 to the power 40 sets
+    long = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows += [(1000 + i, "http://long.example.org/" + "/".join(w for k, w in enumerate(long) if k != i), True) for i in range(40)]
+    parsed = url_rules.parse(spark.createDataFrame(rows, "page_id long, url string, bad boolean"))
+    got = {tuple(x["antecedent"]) for x in url_rules.mine(parsed).collect()}
+    baskets = [({"p:" + w for w in u.split("/")[3:]} | {"h:" + w for w in u.split("/")[2].split(".")}, b) for _, u, b in rows]
+    want, names = set(), sorted({t for x, _ in baskets for t in x})
+    for size in (1, 2, 3):
+        for items in itertools.combinations(names if size == 1 else [t for t in names if t in ("p:win", "p:bet", "p:tea", "p:cup", "p:sun", "p:sea", "p:waa", "p:wab", "h:h", "h:com")], size):
+            hits = [b for x, b in baskets if set(items) <= x]
+            if len(hits) >= url_rules.MIN_COUNT and sure(sum(hits), len(hits)) and not any(set(w) <= set(items) for w in want):
+                want.add(items)
+    said = lambda rules, x: any(set(w) <= x for w in rules)
+    assert ("p:bet", "p:win") in got and all(said(got, x) == said(want, x) for x, _ in baskets)
+    assert {g for g in got if len(g) == 1} <= want
+
+
 def test_pii_base_equals_brute_force(spark, texts, edge, edge_rows):
     odd = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1", "1" * 20_000, "a.a." * 4000 + "@b" + ".c" * 4000, "4111 1111 1111 1111", "+1 (042) 555-7845 +12"]
     rows = [*texts.items(), *((10_000 + i, t) for i, t in enumerate(odd))]
