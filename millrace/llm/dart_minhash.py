@@ -10,8 +10,9 @@ Texts that share a band of coordinates are candidates, and candidates are compar
 band's bucket everyone is first compared with two leaders; components of what proves alike are then found. Buckets that
 still hold several components meet other leaders, in ROUNDS rounds. What is mixed then is compared in full: in each
 bucket the rows outside its largest component meet all its rows, by signature and then by shingles, and a row yields
-one link to each component that it proves alike to. So a crowd of copies costs a few comparisons each, no pair that
-shares a bucket goes unexamined, and no group is written out in pairs.
+one link to each component that it proves alike to. Rows are dealt out in blocks, and a task has two blocks at most. So a
+crowd of copies costs a few comparisons each and no group is written out in pairs. Of the pairs that share a bucket, a
+signature rules out only those that agree in fewer coordinates than a pair at the threshold does with probability LOST.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from millrace.llm.components import components
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
-#: A signature estimate this many standard deviations below the threshold rules a pair out.
-DEVIATIONS = 4.0
+#: The probability that the signatures of a pair at the threshold agree in too few coordinates for it to be looked at.
+LOST = 1e-9
 #: Rounds of further leaders, leaders a round, and the rows of a bucket that one task compares.
 ROUNDS, LEADERS = 1, 2
 BLOCK = 2048
@@ -47,10 +48,19 @@ def _words() -> WordCodes:
     return WordCodes()
 
 
+def _codes(text: str) -> np.ndarray:
+    codes = _words().codes(text)
+    return codes[codes != 0]
+
+
+def _name(codes: np.ndarray, text: str) -> bytes:
+    """128 bits that name a sequence of words; a text without any is named by its characters."""
+    return hashlib.md5(codes.tobytes() if len(codes) else b"raw" + text.encode()).digest()
+
+
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit codes of the text's WIDTH-word shingles, ascending, and their counts."""
-    codes = _words().codes(text)
-    return np.unique(shingle_codes(codes[codes != 0], WIDTH), return_counts=True)
+    return np.unique(shingle_codes(_codes(text), WIDTH), return_counts=True)
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -113,9 +123,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = _words().codes(text)
-                codes = codes[codes != 0]
-                name = hashlib.md5(codes.tobytes() if len(codes) else b"raw" + text.encode()).digest()
+                codes = _codes(text)
+                name = _name(codes, text)
                 if len(codes):
                     elements, counts = np.unique(shingle_codes(codes, WIDTH), return_counts=True)
                     sig = dart_signature(elements, counts, BANDS * ROWS)
@@ -134,6 +143,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCAN)
 
 
+def least_agreeing(k: int = BANDS * ROWS, likeness: float = THRESHOLD, lost: float = LOST) -> int:
+    """The largest m for which k coordinates, each equal with probability `likeness`, agree in fewer than m with probability `lost` or less."""
+    below, m = 0.0, 0
+    while below + (here := math.comb(k, m) * likeness**m * (1 - likeness) ** (k - m)) <= lost:
+        below, m = below + here, m + 1
+    return m
+
+
 def _near_in_size(n, m):
     return F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-9
 
@@ -153,24 +170,27 @@ def _alike(a, b) -> bool:
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, e, c): the high halves of the shingle codes of the needed (id) texts, and the counts where they aren't all 1."""
+    """(id, k1, e, c) of the needed (id) texts: the first half of their names, the high halves of their shingle codes, and the
+    counts where they aren't all 1. An id has a row for each of its texts."""
 
     def read(batches):
         hold("dart", _words().clear)
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array([np.frombuffer(_name(_codes(t), t), np.int64)[0] for t in texts], pa.int64()),
                     pa.array([(e >> _U(32)).astype("<u4").tobytes() for e, _ in found], pa.binary()),
                     pa.array([b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c in found], pa.binary()),
                 ],
-                ["id", "e", "c"],
+                ["id", "k1", "e", "c"],
             )
 
     needed = materialise(needed.distinct(), "near-needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(needed.hint("merge"), "id", "left_semi")
-    return materialise(texts.mapInArrow(read, "id long, e binary, c binary").dropDuplicates(["id"]), "near-sets")
+    return materialise(texts.mapInArrow(read, "id long, k1 long, e binary, c binary").dropDuplicates(["id", "k1"]), "near-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,7 +207,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     one, two = (sets.select(F.col("id").alias(x), F.col("e").alias(f"e{x}"), F.col("c").alias(f"c{x}")).hint("merge") for x in "ab")
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "ca", "eb", "cb")
-    return joined.mapInArrow(compare, "a long, b long")
+    return joined.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _pairs(led: DataFrame) -> DataFrame:
@@ -208,40 +228,44 @@ def _across(mixed: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that tie components of mixed buckets together, from all pairs of rows of a bucket that are in
     different components and share no earlier bucket.
 
-    A bucket's rows are dealt out in blocks; rows outside its largest component go to each of its blocks, as only they
-    have partners in every block. mixed is (band, doc, n, component), held (doc, bands, sig).
+    Rows outside a bucket's largest component are dealt out in `few` blocks, those of it in `many`: each block of the first
+    kind meets each block of both, in a task of its own, so a task has 2 * BLOCK rows or so however large a bucket is.
+    mixed is (band, doc, n, component), held (doc, k1, bands, sig).
     """
     sizes = mixed.groupBy("band", "component").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("m", "component")).alias("x"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
-    sizes = materialise(sizes.select("band", F.col("x.component").alias("largest"), "blocks"), "near-sizes")
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("m", "component")).alias("x"), F.sum("m").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = materialise(sizes.select("band", F.col("x.component").alias("largest"), blocks(F.col("all") - F.col("x.m")).alias("few"), blocks(F.col("x.m")).alias("many")), "near-sizes")
     d = materialise(mixed.join(sizes.hint("merge"), "band"), "near-blocks")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    d = d.withColumns({"own": own, "small": F.col("component") != F.col("largest")})
-    d = d.withColumn("block", F.explode(F.when(F.col("small"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    d = d.withColumn("small", F.col("component") != F.col("largest"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("small"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(up_to("few"), lambda k: cell(0, F.least("own", k), F.greatest("own", k)))
+    against = F.transform(up_to("many"), lambda k: cell(1, F.col("own"), k))
+    d = d.withColumn("cell", F.explode(F.when(F.col("small"), F.concat(among, against)).otherwise(F.transform(up_to("few"), lambda k: cell(1, k, F.col("own"))))))
     sets = _sets(docs, mixed.select(F.col("doc").alias("id"))).withColumnRenamed("id", "doc")
-    facts = materialise(held.select("doc", "bands", "sig").join(sets.hint("merge"), "doc"), "near-facts")
-    d = d.select("band", "block", "own", "small", "doc", "n", "component").join(facts.hint("merge"), "doc")
-    k = BANDS * ROWS
-    least = (THRESHOLD - DEVIATIONS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / k)) * k
+    facts = materialise(held.select("doc", "k1", "bands", "sig").join(sets.hint("merge"), ["doc", "k1"]).drop("k1"), "near-facts")
+    d = d.select("band", "cell.*", "own", "small", "doc", "n", "component").join(facts.hint("merge"), "doc").filter(F.array_contains("bands", F.col("band")))
+    least = least_agreeing()
 
     def compare(table):
-        block, band = table.column("block")[0].as_py(), table.column("band")[0].as_py()
+        kind, i, j, band = (table.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
         own, small, doc, n, part = (table.column(c).to_numpy() for c in ("own", "small", "doc", "n", "component"))
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(doc), -1)
         here = int(np.flatnonzero(bands[0] == band)[0])
         sets = [None] * len(doc)
 
-        def shingles_of(i):
-            if sets[i] is None:
-                sets[i] = _held(table.column("e")[i].as_py(), table.column("c")[i].as_py())
-            return sets[i]
+        def shingles_of(r):
+            if sets[r] is None:
+                sets[r] = _held(table.column("e")[r].as_py(), table.column("c")[r].as_py())
+            return sets[r]
 
         links = []
-        mine = own == block
-        for x in np.flatnonzero(small):
-            # a pair of small rows is met in both rows' blocks; the row of smaller id looks for it
-            y = np.flatnonzero(mine & (part != part[x]) & (~small | (doc > doc[x])))
+        others = ~small if kind else own == j
+        for x in np.flatnonzero(small & (own == i)):
+            y = np.flatnonzero(others & (part != part[x]) & ((doc > doc[x]) if not kind and i == j else True))
             lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             y = y[lo >= THRESHOLD * hi - 1e-9]
             near = (sig[y] == sig[x]).sum(1)
@@ -255,7 +279,7 @@ def _across(mixed: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
                     links.append((min(int(doc[x]), int(doc[v])), max(int(doc[x]), int(doc[v]))))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return d.groupBy("band", "block").applyInArrow(compare, "a long, b long").distinct()
+    return d.groupBy("band", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +289,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     THRESHOLD alike are linked, and a class, named by its least doc_id, is what links connect. Null texts are empty; texts
     without words are alike only if equal; texts of fewer words than a shingle has are one shingle. Rows with a null
     doc_id join the class of their text but name none. Rows that share a doc_id and differ in text are compared each,
-    and are one class. An empty table gives empty ones; other columns are left out.
+    and are one class. An empty table gives empty ones; other columns are left out. Very long texts are read whole. The links
+    span the classes: not every alike pair is among them.
     """
     scan = materialise(signatures(docs), "near-scan")
     reps = scan.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "bands", "sig")).alias("r"))
@@ -308,11 +333,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: its class, and the links of its representative to other texts."""
-    members, links = near_duplicates(docs)
-    counts = links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n"))
-    d = members.join(materialise(counts, "near-counts"), "representative", "left")
-    return d.select("doc_id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+    """(doc_id, class_id) of every row; class_id is the least doc_id of its class."""
+    return near_duplicates(docs)[0].select("doc_id", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,33 @@ def test_classes_equal_brute_force(spark, texts):
     assert kept == set(got.values())
 
 
+def test_a_bucket_of_many_components(spark):
+    """Thousands of different texts that share every bucket of a formula: tasks stay bounded, and the few alike ones are found."""
+    import unittest.mock as mock
+
+    head = [f"common{i}" for i in range(90)]
+    rows = [(i, " ".join(head + [f"own{i}x{k}" for k in range(40)])) for i in range(1200)]
+    rows += [(5000 + i, " ".join(head + [f"own{i}x{k}" for k in range(36)] + ["new"] * 4)) for i in range(0, 1200, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    with mock.patch.object(dm, "BLOCK", 256):
+        got = {r["doc_id"]: r["class_id"] for r in dm.classify(d).collect()}
+    assert got == near_classes(rows) and sum(i != c for i, c in got.items()) == 30
+
+
+def test_least_agreeing_is_the_binomial_tail():
+    import math
+
+    m = dm.least_agreeing()
+    tail = lambda m: sum(math.comb(160, j) * 0.8**j * 0.2 ** (160 - j) for j in range(m))
+    assert tail(m) <= 1e-9 < tail(m + 1)
+
+
+def test_texts_of_one_doc_id_are_compared_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    d = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in dm.classify(d).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_edge_rows(edge, edge_rows, empty):
     got = dm.classify(edge).collect()
     assert len(got) == len(edge_rows)
