@@ -1,5 +1,8 @@
 """Line dedup: levelled sorted runs of line hashes, compacted as they grow; batches merge-anti-join them.
 
+Batches come in falling order of doc_id. A batch's keys are merge-anti-joined with the runs: those that no run holds are new,
+and their largest holder is in this batch; of the others only the number of documents goes into the batch's own run.
+
 Built-in functions only. A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends, A-Z lower-cased;
 keys of fewer than MIN_CHARS code points never count as repeated.
 """
@@ -75,8 +78,9 @@ class LineRuns:
     there is, so a later session can take the runs up again.
     """
 
-    def __init__(self, spark: SparkSession, levels: list[list[str]] | None = None, fan_in: int = FAN_IN):
-        self.spark, self.levels, self.fan_in = spark, levels or [], fan_in
+    def __init__(self, spark: SparkSession, levels: list[list[str]] | None = None, fan_in: int = FAN_IN, shared: DataFrame | None = None):
+        """shared: the doc_ids that several rows have, if there are any."""
+        self.spark, self.levels, self.fan_in, self.shared = spark, levels or [], fan_in, shared
         self.home = f"{shared_dir(spark)}/millrace/lines-{uuid.uuid4().hex}"
 
     SCHEMA = "h1 long, h2 long, n_docs long, top_doc long"
@@ -105,14 +109,29 @@ class LineRuns:
         """One row per key over all runs."""
         return self._merge(self._read([p for level in self.levels for p in level]))
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The batch's lines whose keys no run holds: a merge-anti-join of the batch with the runs."""
-        held = self._read([p for level in self.levels for p in level]).select("h1", "h2")
-        return lines.join(held, ["h1", "h2"], "left_anti")
+    def _keys(self) -> DataFrame:
+        return self._read([p for level in self.levels for p in level]).select("h1", "h2").hint("merge")
+
+    def unseen(self, keyed: DataFrame) -> DataFrame:
+        """The rows whose keys no run holds: a merge-anti-join with the runs."""
+        return keyed.join(self._keys(), ["h1", "h2"], "left_anti")
 
     def add(self, lines: DataFrame) -> None:
-        """Adds the batch's own run and compacts every level that is full."""
-        self._write(lines.groupBy("h1", "h2").agg(F.sum("first").cast("long").alias("n_docs"), F.max("doc_id").alias("top_doc")), 0)
+        """Adds the batch's own run and compacts every level that is full.
+
+        lines has h1, h2, first and doc_id; the doc_ids are others than those of earlier batches. A document counts once for a key,
+        also where it has several rows; a null doc_id counts for none. Only keys that no run holds get their largest holder.
+        """
+        firsts = lines.filter("first = 1 AND doc_id IS NOT NULL").select("h1", "h2", "doc_id", F.lit(1).cast("long").alias("n"))
+        again = firsts.join(self.shared, "doc_id", "left_semi") if self.shared is not None else firsts.limit(0)
+        again = again.groupBy("h1", "h2", "doc_id").agg((1 - F.count("*")).alias("n")).filter("n < 0").select("h1", "h2", "doc_id", "n")
+        own = lines.filter("doc_id IS NULL").select("h1", "h2", "doc_id", F.lit(0).cast("long").alias("n")).unionByName(firsts)
+        own = own if self.shared is None else own.unionByName(again)
+        own = materialise(own.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("top_doc")), "lines-batch")
+        if any(self.levels):
+            known = own.join(self._keys(), ["h1", "h2"], "left_semi").withColumn("top_doc", F.lit(None).cast("long"))
+            own = self.unseen(own).unionByName(known)
+        self._write(own, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
@@ -163,18 +182,21 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """docs without the lines whose key is in min_docs rows or more, except in the largest doc_id that holds it.
+    """docs without the lines whose key is in min_docs documents or more, except in the largest doc_id that holds it.
 
-    The lines' hashes are read once and enter the runs batch by batch; what the runs then hold as repeated
-    takes its lines out of the texts. Null texts become one empty line; rows that share a doc_id count each,
-    and all of them keep a key's lines if that doc_id is the largest; null doc_ids count, and hold no key;
-    an empty table stays empty; columns pass through, but for n_lines, n_dropped, row_key, _gone, _lines, _id and _key.
+    The lines' hashes are read once and enter the runs batch by batch, the largest doc_ids first; what the runs then hold as
+    repeated takes its lines out of the texts. Null texts become one empty line; rows that share a doc_id are one document,
+    and all of them keep a key's lines if that doc_id is the largest; null doc_ids count for nothing and keep no repeated
+    line; an empty table stays empty; very long texts are read whole; columns pass through, but for n_lines, n_dropped,
+    row_key, _gone, _lines, _id and _key.
     """
     spark = docs.sparkSession
-    rows = long_lines(docs).withColumn("batch", F.pmod(F.col("row_key"), F.lit(batches)).cast("int"))
-    lines = materialise(rows, "lines", "batch")
-    runs = LineRuns(spark)
-    for k in range(batches):
+    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)])).first()[0] or []
+    after = sum((F.when(F.col("doc_id") > x, 0).otherwise(1) for x in bounds), F.lit(0))
+    lines = materialise(long_lines(docs).withColumn("batch", after), "lines", "batch")
+    shared = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "lines-shared")
+    runs = LineRuns(spark, shared=None if shared.isEmpty() else shared)
+    for k in range(len(bounds) + 1):
         runs.add(lines.filter(F.col("batch") == k))
     repeated = materialise(runs.merged().filter(F.col("n_docs") >= min_docs), "repeated")
     gone = (

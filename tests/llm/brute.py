@@ -132,16 +132,16 @@ def keys_of(text):
 
 
 def dropped_lines(rows):
-    """rows: (doc_id, text). The kept text of each row, by the rule of three rows and the largest doc_id."""
+    """rows: (doc_id, text). The kept text of each row, by the rule of three documents and the largest doc_id."""
     holders = {}
     for doc_id, text in rows:
         for key in set(keys_of(text or "")):
             if len(key) >= 20:
-                holders.setdefault(key, []).append(doc_id)
+                holders.setdefault(key, set()).add(doc_id)
     out = []
     for doc_id, text in rows:
         lines, keys = (text or "").split("\n"), keys_of(text or "")
-        gone = [len(h := holders.get(k, [])) >= 3 and doc_id != max((x for x in h if x is not None), default=None) for k in keys]
+        gone = [len(h := holders.get(k, set()) - {None}) >= 3 and doc_id != max(h) for k in keys]
         out.append((doc_id, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
     return out
 
