@@ -198,6 +198,53 @@ def test_formula_of_many_hides_no_passage_of_two(spark):
     assert {(r["doc_id"], r["start"], r["end"]) for r in found} == {(i, 30, 80) for i in want}
 
 
+def test_families_with_a_common_head_are_found(spark):
+    """Passages of 50 words that begin with the same 44 words: the rest tells the families apart."""
+    head = words(600, 44)
+    rows, want = [], set()
+    for k in range(100):
+        passage = head + words(700 + k, 6)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(words(3000 + i, 40) + passage + words(6000 + i, 40))))
+        want.add((2 * k, 2 * k + 1))
+    found = cw.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want <= {(r["a"], r["b"]) for r in found if r["a_end"] - r["a_start"] >= 50}
+
+
+def test_recall_of_near_passages(spark):
+    """Links of passages at the threshold and above, of one window's length and more, against all pairs compared."""
+    rng = np.random.default_rng(17)
+    rows, want, room = [], set(), cw.LEAST_WORDS - cw.WIDTH + 1
+    for k in range(260):
+        passage = words(10_000 + k, int(rng.integers(50, 90)))
+        near = list(passage)
+        for p in rng.integers(2, len(near) - 2, int(rng.integers(1, 3))):
+            near[p] = f"changed{k}"
+        texts = [words(20_000 + 2 * k + j, 30) + x + words(40_000 + 2 * k + j, 30) for j, x in enumerate((passage, near))]
+        rows += [(2 * k + j, " ".join(t)) for j, t in enumerate(texts)]
+        a, b = ((cw.sequence(" ".join(t)) >> np.uint64(32)).astype(np.uint32) for t in texts)
+        if cw.passages(a, b, room):
+            want.add((2 * k, 2 * k + 1))
+    got = {(r["a"], r["b"]) for r in cw.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("links", len(want), "found", len(got & want))
+    assert got <= want and len(want) >= 150 and len(got & want) >= 0.9 * len(want)
+
+
+def test_rarest_shingles_meet():
+    """Two sets with THRESHOLD * least or more in common share one of either's rarest."""
+    rng = np.random.default_rng(19)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 90, 60)).astype(np.int32)
+        y = np.unique(np.append(rng.permutation(x)[: int(rng.integers(20, len(x)))], rng.integers(0, 200, 15))).astype(np.int32)
+        counts = dict(zip(range(200), rng.integers(2, 50, 200).tolist(), strict=True))
+        both = np.intersect1d(x, y)
+        least = int(rng.integers(10, 46))
+        if len(both) >= cw.THRESHOLD * least:
+            only = lambda s: np.array([v for v in s if v in both or counts[v] > 10], np.int32)
+            p, q = (cw.rarest(s, only(s), np.array([counts[v] for v in only(s)]), least) for s in (x, y))
+            assert len(np.intersect1d(p, q))
+
+
 def test_blocks_of_a_signature_meet():
     rng = np.random.default_rng(13)
     parts = [rng.integers(0, 2**32, 60).astype(np.uint32) for _ in range(12)]
