@@ -48,7 +48,8 @@ def mean_known(*columns: str) -> Column:
 
 def hash_share(*keys, seed: int = 0) -> Column:
     """A uniform number in [0, 1) from the keys: a coin that falls alike in every run and partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1_000_000 / 1_000_000.0
 
 
 def grams(text: Column, n: int = 3) -> Column:

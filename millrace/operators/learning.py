@@ -4,6 +4,7 @@ miss one brings a flag beside it."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -145,8 +146,10 @@ class OverlapScorer(PairScorer):
 def scored_by(pairs: DataFrame, scorer: PairScorer, left: str, right: str, out: str, known: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """pairs with the scorer's logit; only pairs that `known` (keys, out) lacks are scored."""
     @F.arrow_udf("double")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(scorer.load().score(a.to_pylist(), b.to_pylist()), pa.float64())
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ready = scorer.load()
+        for a, b in batches:
+            yield pa.array(ready.score(a.to_pylist(), b.to_pylist()), pa.float64())
 
     new = pairs if known is None else pairs.join(known, keys, "left_anti")
     fresh = new.withColumn(out, run(left, right))

@@ -12,6 +12,7 @@ from millrace.operators import grouping as G
 from millrace.operators import learning as K
 from millrace.operators import metrics as M
 from millrace.operators import synthetic as Y
+from millrace.operators.diagnostics import best_of
 from millrace.plans.registry import query
 from millrace.plans.roles import SQL_PARTS, part_pairs, parts, table
 
@@ -36,7 +37,16 @@ def _labelled(spark, sf_dir):
 _FEATURES = ["length", "mean_word", "distinct", "symbols", "lines"]
 
 
-@query("split_plan")
+def _coin(seed: int) -> str:
+    """hash_share of an order's key in SQL."""
+    return f"((('0x' || substr(md5(concat_ws(':', '{seed}', CAST(o_orderkey AS VARCHAR))), 1, 8))::BIGINT % 1000000) / 1000000::DOUBLE)"
+
+
+@query(
+    "split_plan",
+    f"""WITH c AS (SELECT o_orderkey, {_coin(2027)} < 0.21 AS dropped, {_coin(2028)} AS b, {_coin(2029)} AS c, {_coin(2030)} < 0.25 AS in_sample FROM orders)
+SELECT o_orderkey, dropped, NOT dropped AND b < 0.2 AS holdout, CASE WHEN dropped OR b < 0.2 THEN -1 ELSE floor(c * 5) END::INT AS fold, in_sample FROM c""",
+)
 def split_plan(spark, sf_dir):
     """Dropped, held-out, fold and sample marks of every order."""
     return K.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
@@ -53,7 +63,7 @@ def oof_logistic(spark, sf_dir):
 @query("ranker_crossfit")
 def ranker_crossfit(spark, sf_dir):
     """A boosted ranker fitted twice on disjoint folds, each row scored by the model that hasn't seen it."""
-    d = K.easy_negatives_weighted(_labelled(spark, sf_dir).withColumn("p0", F.lit(0.5)), "p0", "label", ["doc_id"])
+    d = K.easy_negatives_weighted(_labelled(spark, sf_dir).withColumn("p0", F.lit(1.0) - F.col("distinct")), "p0", "label", ["doc_id"], below=0.1, keep=0.5)
     d = K.assembled(d, _FEATURES).cache()
     first, second = F.col("fold").isin(0, 1), F.col("fold").isin(2, 3)
     groups = {"a": (first, ~F.col("fold").isin(0, 1)), "b": (second, F.col("fold").isin(0, 1))}
@@ -188,7 +198,7 @@ def tuned_shift(spark, sf_dir):
     truth = d.filter("l_name = r_name").select("s1", "src", "rid")
     universe = parts(spark, sf_dir).filter("src = 1").select(F.col("id").alias("s1"))
     each = D.per_entity(chosen, truth, universe, "s1", ["src", "rid"], ("delta", grid))
-    return each.groupBy("delta").agg(F.count("*").alias("n"), F.round(F.avg("f"), 9).alias("macro_f"))
+    return best_of(each.groupBy("delta").agg(F.count("*").alias("n"), F.round(F.avg("f"), 9).alias("macro_f")), "delta", "macro_f")
 
 
 @query(

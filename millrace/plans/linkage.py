@@ -5,9 +5,10 @@ Stages are kept as Parquet under a folder, and read from there if they are there
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +46,24 @@ class Settings:
 
 @dataclass
 class Stages:
-    """Results by name: built once, kept under `folder`, which all executors share, with the seconds that each took."""
+    """Results by name: built once, kept under `folder`, which all executors share, with the seconds that each took.
+
+    Results lie in a folder of their settings, so others never get them; one that is there is read, and nothing is built.
+    """
 
     spark: SparkSession
     folder: str
+    settings: Settings = field(default_factory=Settings)
     report: dict[str, float] = field(default_factory=dict)
 
     def __call__(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        path, began = f"{self.folder}/{name}", time.perf_counter()
-        built = build()
-        built.write.mode("ignore").parquet(path)
+        mark = hashlib.md5(repr(self.settings).encode()).hexdigest()[:12]
+        path, began = f"{self.folder}/{mark}/{name}", time.perf_counter()
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            build().write.mode("overwrite").parquet(path)
         self.report[name] = self.report.get(name, 0.0) + time.perf_counter() - began
-        return self.spark.read.schema(built.schema).parquet(path)
+        return self.spark.read.parquet(path)
 
 
 def normalised(raw: DataFrame, known: N.Dictionaries = N.Dictionaries()) -> DataFrame:
@@ -140,6 +147,7 @@ def link(entities: DataFrame, records: DataFrame, truth: DataFrame, run: Stages,
     entities (s1, name, addr, country), records (rid, src, name, addr, country), truth (s1, src, rid) of entities whose
     owners are known. Each record goes to its best entity; each entity keeps the subset of greatest expected F0.5.
     """
+    run = replace(run, settings=s)
     e = run("norm_entities", lambda: normalised(entities))
     r = run("norm_records", lambda: normalised(records))
     split = run("splits", lambda: K.split(entities.select("s1"), "s1", drop=0.0, folds=s.folds, seed=s.seed))

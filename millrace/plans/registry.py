@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["tfidf_topk_lang"](spark, sf_dir)
 
 
-from millrace.plans import blocking_queries, feature_queries, learning_queries, relational_queries, stream_queries, text_queries  # noqa: E402, F401
+from millrace.plans import blocking_queries, context_queries, feature_queries, learning_queries, relational_queries, stream_queries, text_queries  # noqa: E402, F401
