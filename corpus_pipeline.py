@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages from raw documents to packed sequences, each over all that its predecessor kept.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows and empty tables; columns beyond those
+of documents are left out, whatever their names. What becomes of such rows is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -19,28 +23,38 @@ def _as_documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models don't call toxic; the labels teach the models, they don't decide."""
+    """Documents that the class-conditional models don't call toxic; the labels teach the models, they don't decide.
+
+    A null text counts as an empty one; rows with equal texts stay or go together; a null doc_id is no reason to go.
+    """
     model = toxicity_kn.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity_kn.score(docs, model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three or more hold, but for the last holder's."""
+    """Documents without the lines that three or more hold, but for the last holder's. All rows stay; a null text becomes an empty one.
+
+    Rows that share a doc_id are one document; a null doc_id counts for no line, and loses those that three others hold.
+    """
     return _as_documents(line_runs.drop_repeated(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one of smallest doc_id."""
+    """One document of each class of near-duplicates, the one of smallest doc_id.
+
+    Texts without words are copies only if equal; a null text counts as an empty one. Rows without a doc_id stay, and so do
+    all rows that share the doc_id that stays.
+    """
     return dart_minhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. All rows stay; null and empty texts stay as they are; equal rows stay equal."""
     return _as_documents(pii_bootstrap.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences: rows as op2 returns them."""
+    """The pieces of packed sequences: rows as op2 returns them. A null text counts as an empty one and has its one closing id."""
     import public_tokenizers
 
     return hilbert_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
