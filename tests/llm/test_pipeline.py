@@ -42,3 +42,15 @@ def test_stages(spark, tmp_path):
     want, _ = library_ids("word_bpe_49k.json", [t or "" for t in before.values()])
     assert public_tokenizers.path("word_bpe_49k.json")
     pieces_hold(docs.collect(), {i: [[*ids, 1]] for i, ids in zip(before, want, strict=True)}, 2048)
+
+
+def test_stages_on_edge_rows(spark, edge, edge_rows, empty):
+    from pyspark.sql import functions as F
+
+    docs = edge.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), "score", "row_key")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert set(out.columns) == set(corpus_pipeline.COLUMNS)
+        assert sorted(map(str, ids)) == sorted(str(i) for i, _ in edge_rows) if name != "near_dedup" else {1, 3, 5, None} <= set(ids)
+        assert stage(spark, docs.limit(0), SF).count() == 0
