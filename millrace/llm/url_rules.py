@@ -8,7 +8,8 @@ that have nothing to do with URLs give no rule.
 The number of frequent sets grows as 2 to the power of a basket's size, so baskets are made small first. Tokens of fewer
 than MIN_COUNT URLs are in no rule. Tokens that the same labelled URLs hold are one item. A single item that makes a rule is
 matched as such and leaves the baskets, as every larger set with it blocks nothing more. All this changes no verdict. Of what
-is left, FP-growth sees the LARGEST most telling items of a URL: that bounds its work, and is the one limit on its search.
+is left, FP-growth sees the LARGEST most telling items of a URL. Sets that a bad URL of more items holds are searched level by
+level over whole baskets, so no set is left out: only sets that no smaller one equals in its URLs, and that hold no rule, grow.
 """
 
 from __future__ import annotations
@@ -85,6 +86,42 @@ def _sure(bad: Column, n: Column, min_confidence: float) -> Column:
     return low >= min_confidence
 
 
+def _least_bad(min_count: int, min_confidence: float) -> int:
+    """How many bad URLs a rule has at least: Wilson's bound is greatest where all of them are bad, and then n / (n + SIGMAS^2)."""
+    alone = math.ceil(min_confidence * SIGMAS**2 / (1 - min_confidence) - 1e-9) if min_confidence < 1 else 1
+    return max(1, math.ceil(min_count * min_confidence), alone)
+
+
+def _rest(baskets: DataFrame, least: int, min_count: int, min_confidence: float) -> DataFrame:
+    """Rules (antecedent, n, bad) of two items or more among those that a long bad basket of baskets (row, bad, every, long) holds.
+
+    Level by level: a set grows if `least` bad rows hold it, if it is no rule (a larger one blocks nothing more), and if each
+    smaller set in it has more rows (of two sets with the same rows, the larger blocks nothing more).
+    """
+    rows = baskets.select("row", "bad", "every", (F.col("long") & (F.col("bad") == 1)).alias("long"))
+    held = rows.select("row", F.explode("every").alias("x")).select("row", F.array("x").alias("set"))
+    rules = None
+    smaller = None
+    while True:
+        counts = held.join(rows.select("row", "bad", "long"), "row").groupBy("set").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.max("long").alias("long"))
+        sets = counts.filter((F.col("bad") >= least) & F.col("long"))
+        if smaller is not None:
+            each = sets.select("set", "n", F.explode("set").alias("x")).select("set", "n", F.array_remove("set", F.col("x")).alias("less"))
+            each = each.join(smaller.select(F.col("set").alias("less"), F.col("n").alias("more")), "less").filter("n < more")
+            sets = sets.join(each.groupBy("set").agg(F.count("*").alias("k")).filter(F.col("k") == F.size("set")), "set", "left_semi")
+        sure = (F.col("n") >= min_count) & _sure(F.col("bad"), F.col("n"), min_confidence)
+        sets = materialise(sets.select("set", "n", "bad", sure.alias("rule")), "url-level")
+        if smaller is not None:
+            made = sets.filter("rule").select(F.col("set").alias("antecedent"), "n", "bad")
+            rules = made if rules is None else rules.unionByName(made)
+        smaller = sets.filter("NOT rule").select("set", "n")
+        if smaller.limit(2).count() < 2:
+            return rules if rules is not None else sets.filter("false").select(F.col("set").alias("antecedent"), "n", "bad")
+        grown = held.join(smaller.select("set"), "set", "left_semi").join(rows.select("row", "every"), "row")
+        grown = grown.select("row", "set", F.explode(F.filter("every", lambda x: x > F.element_at("set", -1))).alias("x"))
+        held = materialise(grown.select("row", F.concat("set", F.array("x")).alias("set")), "url-holders")
+
+
 def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, largest: int = LARGEST) -> DataFrame:
     """Association rules (rule_id, antecedent, n, bad): n labelled URLs hold the antecedent, `bad` of them are bad.
 
@@ -102,11 +139,13 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float
     single = items.filter("rule").select(F.array("item").alias("antecedent"), "n", "bad")
     told = held.join(items.filter("NOT rule").select(F.col("item").alias("token"), (F.col("bad") / F.col("n")).alias("share")), "token")
     best = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "token"))), 1, largest), lambda x: x["token"])
-    baskets = materialise(told.groupBy("row").agg(F.max("bad").alias("bad"), best.alias("items")), "url-baskets")
+    every = F.sort_array(F.collect_list("token"))
+    told = told.groupBy("row").agg(F.max("bad").alias("bad"), best.alias("items"), every.alias("every"))
+    baskets = materialise(told.withColumn("long", F.size("every") > largest), "url-baskets")
     # a rule needs so many bad URLs at least, so the bad ones' baskets hold all sets that can make one
-    ill = baskets.filter("bad = 1 AND size(items) > 1")
+    ill = baskets.filter("bad = 1 AND size(every) > 1")
     n_bad = ill.count()
-    least = max(1, math.ceil(min_count * min_confidence))
+    least = _least_bad(min_count, min_confidence)
     if n_bad < least:
         rules = single
     else:
@@ -116,6 +155,8 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float
         found = match(rows.select("row", "bad", "tokens"), sets, "row").join(rows.select("row", "bad"), "row")
         counts = found.groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).filter((F.col("n") >= min_count) & _sure(F.col("bad"), F.col("n"), min_confidence))
         rules = single.unionByName(sets.join(counts, "rule_id").select("antecedent", "n", "bad"))
+        if baskets.filter("long AND bad = 1").limit(1).count():
+            rules = rules.unionByName(_rest(baskets, least, min_count, min_confidence)).distinct()
     return materialise(rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "n", "bad"), "url-rules")
 
 

@@ -148,6 +148,26 @@ def test_mined_rules_equal_brute_force(spark):
     assert {g for g in got if len(g) == 1} <= want
 
 
+def test_rules_of_long_baskets_are_whole(spark):
+    import random
+
+    r = random.Random(7)
+    names = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxy"]
+    rows = []
+    for i in range(400):
+        words = set(r.sample(names, 16))
+        rows.append((i, "http://h.example.com/" + "/".join(sorted(words)) + "/1", {"wa", "wb", "wc"} <= words or r.random() < 0.02))
+    parsed = url_rules.parse(spark.createDataFrame(rows, "page_id long, url string, bad boolean"))
+    rules = {tuple(x["antecedent"]): (x["n"], x["bad"]) for x in url_rules.mine(parsed).collect()}
+    assert ("p:wa", "p:wb", "p:wc") in rules
+    # the bound on FP-growth's baskets changes no verdict
+    for largest in (1, 3):
+        few = {tuple(x["antecedent"]): (x["n"], x["bad"]) for x in url_rules.mine(parsed, largest=largest).collect()}
+        said = lambda found, u: any({t[2:] for t in a} <= set(u.split("/")[3:]) for a in found)
+        assert all(said(few, u) == said(rules, u) == ({"wa", "wb", "wc"} <= set(u.split("/")[3:])) for _, u, _ in rows)
+        assert all(rules.get(a, v) == v for a, v in few.items())
+
+
 def test_pii_base_equals_brute_force(spark, texts, edge, edge_rows):
     odd = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1", "1" * 20_000, "a.a." * 4000 + "@b" + ".c" * 4000, "4111 1111 1111 1111", "+1 (042) 555-7845 +12"]
     rows = [*texts.items(), *((10_000 + i, t) for i, t in enumerate(odd))]
