@@ -22,7 +22,15 @@ def best_prefix(ps):
     ks = F.sequence(F.lit(0), F.size(ps))
     options = F.transform(ks, lambda k: F.struct((-F.round(expected_f_half(ps, k), 9)).alias("minus"), k.alias("k")))
     best = F.array_min(options)
-    return F.struct(best["k"].alias("k"), (-best["minus"]).alias("ef"))
+    # never null, and said to be so: a test for null would be pushed down and work the lists out twice
+    return F.struct(F.coalesce(best["k"], F.lit(0)).alias("k"), (-best["minus"]).alias("ef"))
+
+
+def best_prefixes(lists: DataFrame, ps: str, name: str) -> DataFrame:
+    """lists with best_prefix of the column ps as `name`: worked out once for each different list."""
+    each = lists.select(F.col(ps).alias("_list")).distinct()
+    each = each.repartition("_list").withColumn(name, best_prefix(F.col("_list")))
+    return lists.join(each, F.col(ps) == F.col("_list")).drop("_list")
 
 
 def select_expected_f(pairs: DataFrame, score: str, entity: list[str], *ties: str, floor: float = FLOOR, most: int = MOST) -> DataFrame:
@@ -30,7 +38,7 @@ def select_expected_f(pairs: DataFrame, score: str, entity: list[str], *ties: st
     have the greatest expected F0.5. `most` bounds what is collected for an entity."""
     top = best_in_group(pairs.filter(F.col(score) >= floor), entity, score, *ties, k=most, rank="_rk")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_rk", F.col(score).cast("double").alias("p")))), lambda x: x["p"])
-    best = top.groupBy(*entity).agg(ordered.alias("_ps")).withColumn("_best", best_prefix(F.col("_ps")))
+    best = best_prefixes(top.groupBy(*entity).agg(ordered.alias("_ps")), "_ps", "_best")
     chosen = top.join(best.select(*entity, F.col("_best.k").alias("_k")), entity)
     return chosen.filter(F.col("_rk") <= F.col("_k")).drop("_rk", "_k")
 
@@ -55,6 +63,17 @@ def per_entity(pred: DataFrame, truth: DataFrame, universe: DataFrame, entity: s
     return out.withColumn("f", f_half(F.col("tp"), F.col("n_true"), F.col("n_pred")))
 
 
+def per_entity_counted(pred: DataFrame, n_true: DataFrame, universe: DataFrame, entity: str, record: list[str], hit, grid: tuple[str, list[float]] | None = None) -> DataFrame:
+    """per_entity where the truth comes as counts (entity, n_true), and `hit` tells of a pair of pred whether it is true."""
+    keys = [grid[0], entity] if grid else [entity]
+    made = pred.select(*keys, *record, hit.alias("_hit")).distinct().groupBy(*keys).agg(F.count("*").alias("n_pred"), F.count_if("_hit").alias("tp"))
+    out = universe.select(entity).distinct().join(n_true, entity, "left")
+    if grid:
+        out = out.withColumn(grid[0], F.explode(F.array(*map(F.lit, grid[1]))))
+    out = out.join(made, keys, "left").na.fill(0, ["n_true", "n_pred", "tp"])
+    return out.select(*keys, "n_true", "n_pred", "tp").withColumn("f", f_half(F.col("tp"), F.col("n_true"), F.col("n_pred")))
+
+
 def sweep_thresholds(pairs: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
     """The pairs that each threshold keeps: one pass, the few thresholds ride along as an array."""
     grid = F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(score) >= t)

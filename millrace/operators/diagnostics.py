@@ -37,10 +37,11 @@ def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataF
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
-def by_part(universe: DataFrame, candidates: DataFrame, chosen: DataFrame, score: str, entity: str, part: str) -> DataFrame:
-    """How each part fares: pairs chosen and offered an entity, entities without any, median and uncertain best scores."""
+def by_part(universe: DataFrame, offered: DataFrame, chosen: DataFrame, entity: str, part: str) -> DataFrame:
+    """How each part fares: pairs chosen and offered an entity, entities without any, median and uncertain best scores.
+
+    offered has of each entity how many pairs it is in, n_cand, and their best score, pmax."""
     n_pred = chosen.groupBy(entity).agg(F.count("*").alias("n_pred"))
-    offered = candidates.groupBy(entity).agg(F.count("*").alias("n_cand"), F.max(score).alias("pmax"))
     d = universe.join(n_pred, entity, "left").join(offered, entity, "left").na.fill(0, ["n_pred", "n_cand"])
     return d.groupBy(part).agg(
         F.count("*").alias("n_s1"), F.round(F.avg("n_pred"), 6).alias("pred_per_s1"), F.round(F.avg((F.col("n_pred") == 0).cast("int")), 6).alias("empty_share"),

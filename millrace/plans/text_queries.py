@@ -9,7 +9,7 @@ from millrace.functions import names as N
 from millrace.functions import similarity as S
 from millrace.operators import features as X
 from millrace.operators import mining as MN
-from millrace.operators.joins import capped_key_join
+from millrace.operators.joins import capped_key_join, expanded, null_safe
 from millrace.plans.registry import query
 from millrace.plans.roles import SQL_PARTS, part_pairs, parts, table
 
@@ -94,6 +94,20 @@ def _street_pairs(spark, sf_dir):
     return part_pairs(spark, sf_dir, ("part", "street"))
 
 
+def _street_names(spark, sf_dir):
+    """(part, street, l_name, r_name): the different names of a part and street's entities and records, and their rows."""
+    p, block = parts(spark, sf_dir), ["part", "street"]
+    e, r = (p.filter(c).select(*block, F.col("name").alias(f"{x}_name"), F.col("id").alias(f"{x}_id")) for c, x in (("src = 1", "l"), ("src > 1", "r")))
+    return e.drop("l_id").distinct().join(r.drop("r_id").distinct(), block), e, r
+
+
+def _by_name(spark, sf_dir, compared):
+    """(l_id, r_id, ...) of all street pairs; compared (l_name, r_name) -> (l_name, r_name, ...) works each two names out once."""
+    block_names, e, r = _street_names(spark, sf_dir)
+    each = null_safe(block_names, compared(block_names.select("l_name", "r_name").distinct()), ["l_name", "r_name"])
+    return expanded(each, e, r, ["part", "street"], ["l_name"], ["r_name"])
+
+
 @query("jaro_winkler_pairs", f"{_FUZZY} SELECT l_id, r_id, round(jaro_winkler_similarity(l_name, r_name), 9) AS jw FROM pr")
 def jaro_winkler_pairs(spark, sf_dir):
     return _street_pairs(spark, sf_dir).select("l_id", "r_id", F.round(S.pairwise(S.jaro_winkler)("l_name", "r_name"), 9).alias("jw"))
@@ -111,9 +125,9 @@ def edit_distance_pairs(spark, sf_dir):
 @query("fuzzy_ratios")
 def fuzzy_ratios(spark, sf_dir):
     """The four Indel ratios of names, null where a name is empty."""
-    d = _street_pairs(spark, sf_dir)
     kernels = [S.masked(S.pairwise(S.KERNELS[k])("l_name", "r_name"), F.col("l_name"), F.col("r_name")).alias(k) for k in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")]
-    return d.select("l_id", "r_id", *kernels)
+    d = _by_name(spark, sf_dir, lambda names: names.repartition("l_name", "r_name").select("l_name", "r_name", *kernels))
+    return d.select("l_id", "r_id", "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
 
 
 @query("monge_elkan_pairs")
@@ -128,7 +142,8 @@ def monge_elkan_pairs(spark, sf_dir):
         fields = [("me_l", pa.float64()), ("me_min", pa.float64()), ("me_r", pa.float64()), ("n_low", pa.int32()), ("worst", pa.string())]
         return pa.array([dict(zip(names, r, strict=True)) if r else None for r in rows], pa.struct(fields))
 
-    return _street_pairs(spark, sf_dir).select("l_id", "r_id", run("l_name", "r_name").alias("m")).select("l_id", "r_id", "m.*")
+    d = _by_name(spark, sf_dir, lambda pairs: pairs.repartition("l_name", "r_name").select("l_name", "r_name", run("l_name", "r_name").alias("m")))
+    return d.select("l_id", "r_id", "m.*")
 
 
 @query(
@@ -145,9 +160,14 @@ FROM f GROUP BY 1, 2""".replace("sum(w) FILTER (inl AND inr)", "coalesce(sum(w)
 def weighted_token_overlap(spark, sf_dir):
     """Rarity-weighted Jaccard, containments and rarest unshared tokens of names."""
     idf = X.rarity(parts(spark, sf_dir).select(F.split("name", " ").alias("t")), "t")
-    d = _street_pairs(spark, sf_dir).select("l_id", "r_id", F.split("l_name", " ").alias("l"), F.split("r_name", " ").alias("r"))
-    out = X.weighted_overlap(d, ["l_id", "r_id"], "l", "r", idf)
-    return out.select("l_id", "r_id", *[F.round(c, 6).alias(c) for c in ("wjac", "cont_l", "cont_r", "unsh_l", "unsh_r")])
+    kept = ("wjac", "cont_l", "cont_r", "unsh_l", "unsh_r")
+    keys = ["l_name", "r_name"]
+
+    def overlap(names):
+        words = names.select(*keys, F.split("l_name", " ").alias("l"), F.split("r_name", " ").alias("r"))
+        return X.weighted_overlap(words, keys, "l", "r", idf).select(*keys, *[F.round(c, 6).alias(c) for c in kept])
+
+    return _by_name(spark, sf_dir, overlap).select("l_id", "r_id", *kept)
 
 
 @query(
