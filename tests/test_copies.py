@@ -13,7 +13,7 @@ COPIES = 60
 #: Most rows of a join in a query whose result has a row per record or less, over those of the table: pairs are 18 times as many.
 MOST = 12
 RECORDS = [
-    "accept_added_words", "decide_by_part", "finalised_by_part", "expected_macro", "part_shift_sweep", "part_sanity", "tuned_threshold", "tuned_shift",
+    "accept_added_words", "decide_by_part", "finalised_by_part", "expected_macro", "part_shift_sweep", "part_sanity", "tuned_threshold", "tuned_shift", "version_comparison",
 ]
 
 
