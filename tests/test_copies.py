@@ -18,7 +18,7 @@ RECORDS = [
 
 #: Searches keep up to 20 pairs of a record.
 SEARCHES = [
-    "channel_union", "combined_view_topk", "channel_contribution",
+    "channel_union", "combined_view_topk", "channel_contribution", "reverse_rank",
 ]
 MOST_FOUND = 60
 
