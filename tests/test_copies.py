@@ -23,7 +23,7 @@ SEARCHES = [
 MOST_FOUND = 60
 #: A row for every pair: what it says is worked out before the rows are paired.
 PAIRS = [
-    "house_relation", "weighted_token_overlap", "fuzzy_ratios", "monge_elkan_pairs", "orphan_context", "cross_scorer_rows", "level_two_context",
+    "house_relation", "weighted_token_overlap", "fuzzy_ratios", "monge_elkan_pairs", "orphan_context", "cross_scorer_rows", "level_two_context", "level_three_context",
 ]
 
 
