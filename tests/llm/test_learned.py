@@ -1,6 +1,7 @@
 """Fingerprints, packing, tokenization, toxicity."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -200,3 +201,62 @@ def test_toxicity_without_labels_and_of_edge_rows(spark, edge, edge_rows, empty)
     some = spark.createDataFrame([(3, 1), (5, 0), (4, 1), (8, 0), (11, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity_kn.judge(edge, some).count() == len(edge_rows)
     assert toxicity_kn.judge(empty, some).count() == 0
+
+
+def test_toxicity_models_hold_every_string(spark):
+    """Ratios of words against plain Kneser-Ney models of all counted words, whose strings are more than 150,000."""
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(r.randrange(6, 11))) for _ in range(7000)]
+    groups = [words[:4000], words[3000:]]
+    rows = [(5 * i + 1, " ".join(groups[i % 2]) + f" only{i}", i % 2) for i in range(24)]
+    rows = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_kn.train(docs, docs.select("doc_id", "toxic"), sample_size=1)
+    assert model.root > 150_000
+    fits = toxicity_kn._labelled(docs, docs.select("doc_id", "toxic"), 1).filter("fits").collect()
+    seen = [Counter(w for x in fits if x["toxic"] == c for w in set(x["text"].split())) for c in (0, 1)]
+    n, order = [Counter(), Counter()], toxicity_kn.ORDER
+    for w in seen[0].keys() | seen[1].keys():
+        if seen[0][w] + seen[1][w] >= toxicity_kn.LEAST_TEXTS:
+            s = "\x02" + w + "\x03"
+            for i in range(1, len(s)):
+                for k in range(max(0, i - order + 1), i + 1):
+                    for c in (0, 1):
+                        n[c][s[k : i + 1]] += seen[c][w]
+    held = {g for g in n[0].keys() | n[1].keys() if n[0][g] + n[1][g] >= toxicity_kn.MIN_COUNT}
+    assert model.root == len(held) + 1
+    single = {g: n[0][g] + n[1][g] + 1 for g in held if len(g) == 1}
+    models = []
+    for c in (0, 1):
+        lower, followers = Counter(), defaultdict(list)
+        for g in n[c]:
+            lower[g[1:]] += n[c][g] > 0
+        count = {g: n[c][g] if len(g) == order or g[0] == "\x02" else lower[g] for g in n[c]}
+        for g, x in count.items():
+            followers[g[:-1]].append(x)
+        models.append((count, {h: (sum(x), sum(v > 0 for v in x)) for h, x in followers.items()}))
+
+    def chance(c, g):
+        """Of the last character after the others, by the longest string of all characters but the last that is held."""
+        if len(g) == 1:
+            return single[g] / sum(single.values())
+        count, heads = models[c]
+        total, kinds = heads.get(g[:-1], (0, 0))
+        share = max(count.get(g, 0) - toxicity_kn.DISCOUNT, 0) / total if total and g in held else 0
+        return share + (toxicity_kn.DISCOUNT * kinds / total if total else 1) * chance(c, g[1:])
+
+    def ratio(word):
+        s, out = "\x02" + word + "\x03", 0.0
+        for i in range(1, len(s)):
+            k = max(0, i - order + 1)
+            while s[k:i] not in held and s[k:i] != "\x02" and k < i:
+                k += 1
+            out += math.log(chance(1, s[k : i + 1]) / chance(0, s[k : i + 1])) if k < i else 0.0
+        return out
+
+    tried = words[::50] + ["abc", "l" * 30, "".join(words[:40]), words[5] + "kk", "a"]
+    got = model.ratios(tried)
+    assert np.allclose(got, [ratio(w) for w in tried], atol=1e-3)
