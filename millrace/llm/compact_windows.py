@@ -7,7 +7,8 @@ runs of equal values in the sliding minimum over that many shingles, so they com
 intervals of HASHES functions are joined in bands of ROWS functions: where spans of a band's functions overlap by a
 passage's length, the subsequences there share the band's signature, and a text has one entry for it.
 
-Texts that share an entry are candidates: everyone with the entry's leader. Those whom no passage that holds one of the
+Texts that share an entry are candidates: everyone with the entry's leader. Its rows are told apart into classes that
+passages tie together, and rows of different classes are compared until no passage is left between two. Those whom no passage that holds one of the
 entry's subsequences ties to it are compared with all that have the entry, around the entry's place, by a prefix join:
 shingles are ordered by how many of the entry's rows have them, and two parts that have enough shingles in common for a
 passage share one of the rarest of either. So a formula that thousands of texts have, too short for a passage, brings none
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import WordCodes, hold, materialise, mix64, shingle_codes, shuffle_partitions, text_or_empty
+from millrace.llm.components import components
 
 WIDTH = 5
 #: Words of the shortest passage that counts.
@@ -126,21 +128,23 @@ def _matched(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb_: np.ndarray, roo
     return out
 
 
-def _beside(a: np.ndarray, b: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a and the equal places of b that lie nearest to diagonal d, at most DRIFT from it."""
-    at = np.full(len(a), -1)
-    for off in sorted(range(-DRIFT, DRIFT + 1), key=abs):
-        lo, hi = max(0, -d - off), min(len(a), len(b) - d - off)
-        if lo < hi:
-            same = (a[lo:hi] == b[lo + d + off : hi + d + off]) & (at[lo:hi] < 0)
-            at[lo:hi][same] = np.flatnonzero(same) + lo + d + off
-    here = np.flatnonzero(at >= 0)
-    return here, at[here]
+#: Offsets from a diagonal, the nearest first.
+_NEAREST = np.array(sorted(range(-DRIFT, DRIFT + 1), key=abs))
 
 
-def _seeded(a: np.ndarray, b: np.ndarray, room: int) -> list[tuple[int, int, int, int, float]]:
+def _beside(a: np.ndarray, around: np.ndarray, n: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a and the equal places of a sequence of n that lie nearest to diagonal d, at most DRIFT from it. around holds
+    what lies about each of its places, from len(a) before the first on."""
+    lo, hi = max(0, -d - DRIFT), min(len(a), n - d + DRIFT)
+    same = (around[lo + d + len(a) : hi + d + len(a)] == a[lo:hi, None])[:, _NEAREST + DRIFT]
+    first = same.argmax(1)
+    here = np.flatnonzero(same[np.arange(hi - lo), first])
+    return here + lo, here + lo + d + _NEAREST[first[here]]
+
+
+def _seeded(a: np.ndarray, b: np.ndarray, room: int, known: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
     """Passages along every diagonal on which a min-hash of both has a place in each, unless all the windows of both
-    places lie in passages already. Inside a stretch of one repeated shingle only the ends are such places."""
+    places lie in passages already, known ones or such. Inside a stretch of one repeated shingle only the ends are such places."""
     if min(len(a), len(b)) < room:
         return []
     seeds = np.zeros(0, np.uint32)
@@ -158,18 +162,35 @@ def _seeded(a: np.ndarray, b: np.ndarray, room: int) -> list[tuple[int, int, int
     lo, hi = np.searchsorted(b[there], a[at], "left"), np.searchsorted(b[there], a[at], "right")
     # for each place, the furthest end of a passage that holds it
     end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    tried, out = set(), []
+
+    def cover(p):
+        np.maximum(end_a[p[0] : p[1]], p[1], out=end_a[p[0] : p[1]])
+        np.maximum(end_b[p[2] : p[3]], p[3], out=end_b[p[2] : p[3]])
+
+    for p in known:
+        cover(p)
+    j0, j1 = np.maximum(0, there - room + 1), np.minimum(len(b), there + room)
+    _, both = np.unique(np.append(a, b), return_inverse=True)
+    one, two, mark = both[: len(a)], both[len(a) :], np.zeros(both.max() + 1, bool)
+    outside = np.full(len(a) + DRIFT, -1)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([outside, two, outside]), 2 * DRIFT + 1)
+    tried, out = np.zeros(len(a) + len(b), bool), []
     for i, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for j in there[x:y].tolist():
-            i0, i1, j0, j1 = max(0, i - room + 1), min(len(a), i + room), max(0, j - room + 1), min(len(b), j + room)
-            if j - i in tried or (end_a[i0] >= i1 and end_b[j0] >= j1):
+        i0, i1 = max(0, i - room + 1), min(len(a), i + room)
+        left = ~tried[there[x:y] - i + len(a)] & ((end_a[i0] < i1) | (end_b[j0[x:y]] < j1[x:y]))
+        for k in (np.flatnonzero(left) + x).tolist():
+            j = int(there[k])
+            if end_a[i0] >= i1 and end_b[j0[k]] >= j1[k]:
                 continue
-            if np.isin(a[i0:i1], b[max(0, j0 - DRIFT) : j1 + DRIFT]).sum() < THRESHOLD * room * 0.9:
+            near = two[max(0, j0[k] - DRIFT) : j1[k] + DRIFT]
+            mark[near] = True
+            found = mark[one[i0:i1]].sum()
+            mark[near] = False
+            if found < THRESHOLD * room * 0.9:
                 continue
-            tried.add(j - i)
-            for p in _matched(a, b, *_beside(a, b, j - i), room):
-                np.maximum(end_a[p[0] : p[1]], p[1], out=end_a[p[0] : p[1]])
-                np.maximum(end_b[p[2] : p[3]], p[3], out=end_b[p[2] : p[3]])
+            tried[j - i + len(a)] = True
+            for p in _matched(a, b, *_beside(one, around, len(b), j - i), room):
+                cover(p)
                 out.append(p)
     return out
 
@@ -192,7 +213,7 @@ def passages(a: np.ndarray, b: np.ndarray, room: int = LEAST_WORDS - WIDTH + 1)
     again = np.union1d(a[(na & _U(0xFFFFFFFF)) > 0], b[(nb & _U(0xFFFFFFFF)) > 0])
     whole = any(p[:4] == (0, len(a), 0, len(b)) for p in out)
     if len(again) and not whole and np.isin(a[pa_], again).any():
-        out = list(dict.fromkeys(_seeded(a, b, room) + out))
+        out = list(dict.fromkeys(_seeded(a, b, room, out) + out))
         spans = np.array([p[:4] for p in out]).reshape(-1, 4)
         inside = lambda p, k: ((spans[:, 0] <= p[0]) & (spans[:, 1] >= p[1]) & (spans[:, 2] <= p[2]) & (spans[:, 3] >= p[3]) & (np.arange(len(spans)) != k)).any()
         out = [p for k, p in enumerate(out) if not inside(p, k)]
@@ -278,19 +299,54 @@ def _least_distinct(s: np.ndarray, room: int) -> int:
     return max(1, room - (len(s) - len(np.unique(s))))
 
 
-def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.ndarray], room: int = LEAST_WORDS - WIDTH + 1) -> list[tuple[int, int]]:
-    """(a, b) docs, a < b: for each open row a row whose part shares a passage with its own, if there is one.
+def _reach(hit: np.ndarray, row: np.ndarray, room: int) -> np.ndarray:
+    """The rows that have places `hit`, no two neighbours further apart than a passage's matches may be, over `room` places."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at
+    cut = np.flatnonzero((np.diff(at) > GAP + DRIFT) | (row[at[1:]] != row[at[:-1]]))
+    first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
+    return np.unique(row[first[last - first + 1 >= room]])
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from lo to hi of each, and whose they are."""
+    long = np.maximum(0, hi - lo)
+    whose = np.repeat(np.arange(len(lo)), long)
+    return np.arange(len(whose)) + (lo - np.cumsum(long) + long)[whose], whose
+
 
+def _dense(hit: np.ndarray, size: np.ndarray, part: int, of: int, room: int) -> np.ndarray:
+    """Of rows of so many places each, one after the other: whether `room` places or more in a row are hit by part / of."""
+    total = np.append(0, np.cumsum(hit.astype(np.int64) * of - part))
+    first = np.cumsum(size) - size
+    at, whose = _spread(first, first + size - room + 1)
+    apart = whose * (2 * of * (len(hit) + 1))
+    enough = total[at + room] >= np.minimum.accumulate(total[at] - apart) + apart
+    return np.bincount(whose[enough], minlength=len(size)) > 0
+
+
+def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.ndarray], room: int = LEAST_WORDS - WIDTH + 1, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(a, b) docs, a < b: links that, with those known, make one class of all rows whose parts share passages, directly or
+    through others.
+
+    Known are the classes `group`, or one of all rows that aren't open. Only rows of different classes are compared, and each
+    link makes one class of two, so none between two classes that are left is missed.
     Rows that have `room` shingles in a row in common are told by sums of hashes over all places; for the others,
     shingles in common are counted for all rows that share one of their rarest shingles (see rarest), and those that have
-    enough for a passage are compared, the most alike first.
+    enough for a passage, near enough to each other, are compared, the most alike first.
     own is the block of a row; where there are two, rows meet those of the other block only.
     """
     two = len(np.unique(own)) > 1
-    found, tied = [], np.zeros(len(doc), bool)
+    n, found = len(doc), []
+    group = np.where(open_, np.arange(1, n + 1), 0) if group is None else np.unique(group, return_inverse=True)[1]
 
     def meets(x, y):
-        return (doc[x] != doc[y]) & ((own[x] != own[y]) | (not two))
+        return (doc[x] != doc[y]) & ((own[x] != own[y]) | (not two)) & (group[x] != group[y])
+
+    def tie(x, y):
+        found.append((x, y))
+        group[group == group[y]] = group[x]
 
     sums, rows = [], []
     for r, s in enumerate(parts):
@@ -308,39 +364,56 @@ def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.n
     last = ends[np.searchsorted(ends, np.arange(len(value)))]
     # rows of equal sums stand by block and doc, so if any other will do, the first or the last does
     for other in (row[first], row[last]):
-        for x, y in set(zip(row[m := meets(row, other) & open_[row]].tolist(), other[m].tolist(), strict=True)):
-            if not tied[x]:
-                tied[x] = True
-                found.append((x, y))
-    waiting = np.flatnonzero(open_ & ~tied)
-    if len(waiting):
-        shingles = [np.unique(s) for s in parts]
-        size = np.array([len(s) for s in shingles])
-        start = np.cumsum(size) - size
-        at = np.repeat(np.arange(len(parts)), size)
-        _, code, counts = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-        least = np.array([_least_distinct(s, room) for s in parts])
+        m = meets(row, other)
+        for x, y in sorted(set(zip(row[m].tolist(), other[m].tolist(), strict=True))):
+            if group[x] != group[y]:
+                tie(x, y)
+    most = np.bincount(group).argmax()
+    waiting = group != most
+    if waiting.any():
+        size = np.array([len(s) for s in parts])
+        begin = np.cumsum(size) - size
+        _, seq = np.unique(np.concatenate(parts), return_inverse=True)
+        of = np.repeat(np.arange(n), size)
+        at, code = np.divmod(np.unique(of * (seq.max() + 1) + seq), seq.max() + 1)
+        counts, kinds = np.bincount(code), np.bincount(at, minlength=n)
+        start = np.cumsum(kinds) - kinds
+        least = np.maximum(1, room - (size - kinds))
         enough = np.maximum(1, np.ceil(_needed(least, least.min()) - 1e-9))
         # the rarest shingles of each row, without those that it alone has
         order = np.lexsort((code, counts[code], at))
-        rare = order[(np.arange(len(at)) - start[at] < (size - enough + 1)[at]) & (counts[code[order]] > 1)]
-        rare_of = np.split(code[rare], np.searchsorted(at[rare], np.arange(1, len(parts))))
+        rare = order[(np.arange(len(at)) - start[at] < (kinds - enough + 1)[at]) & (counts[code[order]] > 1)]
+        rare_of = np.split(code[rare], np.searchsorted(at[rare], np.arange(1, n)))
         rare = rare[np.argsort(code[rare], kind="stable")]
         posted, poster = code[rare], at[rare]
-        mark = np.zeros(len(counts), bool)
-        for x in waiting.tolist():
+        mine, plain = np.full(len(counts), -1), kinds == size
+        for x in np.flatnonzero(waiting).tolist():
             lo, hi = np.searchsorted(posted, rare_of[x], "left"), np.searchsorted(posted, rare_of[x], "right")
-            spread = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum()) if len(lo) else lo
-            others = np.unique(poster[spread])
-            others = others[meets(np.full(len(others), x), others)]
-            mark[code[start[x] : start[x] + size[x]]] = True
-            common = np.array([mark[code[start[y] : start[y] + size[y]]].sum() for y in others], np.int64)
-            mark[code[start[x] : start[x] + size[x]]] = False
-            near = np.flatnonzero(common >= _needed(least[x], least[others]) - 1e-9)
-            for y in others[near[np.argsort(-common[near], kind="stable")]].tolist():
-                if passages(parts[x], parts[y], room):
-                    found.append((x, y))
-                    break
+            others = np.unique(poster[_spread(lo, hi)[0]])
+            others = others[meets(x, others) & (~waiting[others] | (others > x))]
+            if not len(others):
+                continue
+            own_codes, one = code[start[x] : start[x] + kinds[x]], seq[begin[x] : begin[x] + size[x]]
+            mine[own_codes] = np.arange(kinds[x])
+            all_, whose = _spread(start[others], start[others] + kinds[others])
+            common = np.bincount(whose, mine[code[all_]] >= 0, len(others))
+            near = common >= _needed(least[x], least[others]) - 1e-9
+            others, common = others[near], common[near]
+            if len(others):
+                all_, whose = _spread(begin[others], begin[others] + size[others])
+                theirs = mine[seq[all_]]
+                near = np.isin(np.arange(len(others)), _reach(theirs >= 0, whose, room))
+                # both sides of a passage are hit by THRESHOLD, 4 / 5, the shorter by 8 / 9; where shingles recur places don't tell
+                held = np.zeros((len(others), kinds[x]), bool)
+                held[whose[theirs >= 0], theirs[theirs >= 0]] = True
+                sides = [(theirs >= 0, size[others], plain[others]), (held[:, mine[one]].ravel(), np.full(len(others), size[x]), np.full(len(others), plain[x]))]
+                near &= np.logical_and.reduce([_dense(h, n_, 4, 5, room) | ~p for h, n_, p in sides])
+                near &= np.logical_or.reduce([_dense(h, n_, 8, 9, room) | ~p for h, n_, p in sides])
+                others, common = others[near], common[near]
+            mine[own_codes] = -1
+            for y in others[np.argsort(-common, kind="stable")].tolist():
+                if group[x] != group[y] and passages(parts[x], parts[y], room):
+                    tie(x, y)
     return sorted({(int(min(doc[x], doc[y])), int(max(doc[x], doc[y]))) for x, y in found})
 
 
@@ -359,7 +432,8 @@ def rarest(shingles: np.ndarray, shared: np.ndarray, counts: np.ndarray, least:
 
 
 def _across(held: DataFrame, lost: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that tie the lost rows (key, doc, at, more) to rows of their signature among held.
+    """Pairs (a, b) that, with the leaders' ties, make one class of all rows of a signature whose parts share passages, directly
+    or through others; lost are the rows (key, doc, at, more) among held that no passage ties to the leader.
 
     A row comes with the part of its text that the signature's subsequences cover; rows of equal parts are one, with links to
     the least doc. The rows of a signature of up to BLOCK parts meet at once. In greater ones, rows that share one of their
@@ -443,52 +517,57 @@ def _across(held: DataFrame, lost: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found))], ["key", "name", "doc", "open", "sh"])
 
     found = materialise(mine.mapInArrow(prefixes, "key long, name long, doc long, open boolean, sh int"), "windows-rarest")
-    # an open row first meets the least doc of each of its rarest shingles
-    heads = found.groupBy("key", "sh").agg(F.min(F.struct("doc", "name")).alias("to"), F.max("open").alias("any"), F.count("*").alias("n")).filter("n > 1 AND any")
-    heads = materialise(heads.select("key", "sh", "to.doc", F.col("to.name").alias("to")).withColumnRenamed("doc", "led"), "windows-heads")
-    tries = found.filter("open").join(heads.hint("merge"), ["key", "sh"]).filter("doc <> led").select("key", "name", "doc", "to", "led").distinct()
+    # an open row first meets a row of each of its rarest shingles: one that the leader ties, or the least doc
+    heads = found.groupBy("key", "sh").agg(F.min(F.struct("open", "doc", "name")).alias("to"), F.max("open").alias("any"), F.count("*").alias("n")).filter("n > 1 AND any")
+    heads = materialise(heads.select("key", "sh", F.col("to.doc").alias("led"), F.col("to.name").alias("to"), F.col("to.open").alias("loose")), "windows-heads")
+    tries = found.filter("open").join(heads.hint("merge"), ["key", "sh"]).filter("doc <> led").select("key", "name", "doc", "to", "led", "loose").distinct()
     part = same.select("key", "name", "part")
     tries = materialise(tries, "windows-tries").join(part.hint("merge"), ["key", "name"]).withColumnRenamed("part", "x")
-    tries = tries.join(part.select("key", F.col("name").alias("to"), F.col("part").alias("y")).hint("merge"), ["key", "to"]).select("key", "name", "doc", "led", "x", "y")
+    tries = tries.join(part.select("key", F.col("name").alias("to"), F.col("part").alias("y")).hint("merge"), ["key", "to"]).select("x", "y", "key", "name", "doc", "led", "to", "loose")
 
     def tie(batches):
         for batch in batches:
-            keep = [bool(passages(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), room)) for x, y in zip(*(batch.column(c).to_pylist() for c in (4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in range(4)], ["key", "name", "doc", "led"])
+            keep = [bool(passages(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), room)) for x, y in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in range(2, 8)], ["key", "name", "doc", "led", "to", "loose"])
 
-    tied = tries.mapInArrow(tie, "key long, name long, doc long, led long").groupBy("key", "name", "doc").agg(F.min("led").alias("led"))
-    tied = materialise(tied, "windows-tied")
+    tied = tries.mapInArrow(tie, "key long, name long, doc long, led long, to long, loose boolean").groupBy("key", "name", "doc").agg(F.min(F.struct("loose", "led", "to")).alias("t"))
+    tied = materialise(tied.select("key", "name", "doc", "t.*"), "windows-tied")
     met = copies.unionByName(tied.select(F.least("doc", "led").alias("a"), F.greatest("doc", "led").alias("b")))
-    # those whom none of these ties meet all rows of their signature that share a shingle with another; in signatures of
-    # more rows than a block holds, all rows of their rarest shingles
-    alive = materialise(found.groupBy("key", "name", "doc").agg(F.max("open").alias("open")), "windows-alive")
-    open_ = alive.filter("open").join(tied.select("key", "name").hint("merge"), ["key", "name"], "left_anti").select("key", "name", F.lit(True).alias("untied"))
-    open_ = materialise(open_, "windows-untied")
-    left = alive.groupBy("key").agg(F.count("*").alias("n")).join(open_.select("key").distinct().hint("merge"), "key")
+    # rows that the leader ties are of class 0, others of that of the row they are tied to, or of their own. In signatures of
+    # several classes all rows meet, or, where that is fewer pairs, the rows of each rarest shingle that a row outside the
+    # largest class has
+    alive = found.groupBy("key", "name", "doc").agg(F.max("open").alias("open")).join(tied.select("key", "name", "to", "loose").hint("merge"), ["key", "name"], "left")
+    label = F.when(~F.col("open") | ~F.coalesce("loose", F.lit(True)), F.lit(0).cast("long")).otherwise(F.coalesce("to", "name"))
+    alive = materialise(alive.select("key", "name", "doc", label.alias("label")), "windows-alive")
+    further = alive.select("key", F.col("name").alias("label"), F.col("label").alias("further")).hint("merge")
+    alive = alive.join(further, ["key", "label"], "left").select("key", "name", "doc", F.coalesce("further", "label").alias("label"))
+    alive = materialise(alive, "windows-classes")
+    left = alive.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+    by_shingle = found.groupBy("key", "sh").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    left = left.filter("labels > 1").join(by_shingle.hint("merge"), "key").select("key", "most", (F.col("n") * F.col("n") <= F.col("pairs")).alias("whole"))
     left = materialise(left, "windows-left").hint("merge")
-    few = alive.join(left.filter(F.col("n") <= BLOCK), "key").select("key", "name", "doc", F.lit(0).alias("sh"))
-    many = found.join(left.filter(F.col("n") > BLOCK), "key").select("key", "name", "doc", "sh")
-    many = many.join(many.join(open_.hint("merge"), ["key", "name"], "left_semi").select("key", "sh").distinct().hint("merge"), ["key", "sh"]).select("key", "name", "doc", "sh")
+    few = alive.join(left.filter("whole"), "key").select("key", "name", "doc", "label", F.lit(0).alias("sh"))
+    many = found.select("key", "name", "sh").join(left.filter("NOT whole"), "key").join(alive.hint("merge"), ["key", "name"])
+    many = materialise(many.select("key", "name", "doc", "label", "sh", (F.col("label") != F.col("most")).alias("out")), "windows-many")
+    many = many.join(many.filter("out").select("key", "sh").distinct().hint("merge"), ["key", "sh"]).select("key", "name", "doc", "label", "sh")
     met_in = materialise(few.unionByName(many), "windows-met")
-    sizes = met_in.groupBy("key", "sh").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = met_in.groupBy("key", "sh").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     sizes = materialise(sizes.select("key", "sh", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "windows-sizes")
     dealt = met_in.join(sizes.hint("merge"), ["key", "sh"])
-    dealt = dealt.join(open_.hint("merge"), ["key", "name"], "left").withColumn("open", F.coalesce("untied", F.lit(False)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
     dealt = dealt.join(part.hint("merge"), ["key", "name"])
 
     def compare(table):
-        doc, own = (table.column(c).to_numpy() for c in ("doc", "own"))
-        open_ = np.array(table.column("open").to_pylist(), bool)
+        doc, own, group = (table.column(c).to_numpy() for c in ("doc", "own", "label"))
         if len(np.unique(own)) == 1 and table.column("one")[0] != table.column("two")[0]:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        pairs = across(doc, open_, own, [np.frombuffer(x, "<u4") for x in table.column("part").to_pylist()])
+        pairs = across(doc, np.ones(len(doc), bool), own, [np.frombuffer(x, "<u4") for x in table.column("part").to_pylist()], group=group)
         return pa.table({c: pa.array([x[k] for x in pairs], pa.int64()) for k, c in enumerate("ab")})
 
     # so many partitions whatever their bytes: the work is in comparing
-    dealt = dealt.select("key", "sh", "one", "two", "doc", "open", "own", "part").repartition(shuffle_partitions(spark), "key", "sh", "one", "two")
+    dealt = dealt.select("key", "sh", "one", "two", "doc", "label", "own", "part").repartition(shuffle_partitions(spark), "key", "sh", "one", "two")
     grouped = dealt.groupBy("key", "sh", "one", "two")
     return met.unionByName(materialise(grouped.applyInArrow(compare, "a long, b long"), "windows-across"))
 
@@ -526,12 +605,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def memberships(docs: DataFrame) -> DataFrame:
-    """(doc_id, representative, start, end, rep_start, rep_end, likeness): each document's passages that another has too.
+    """(doc_id, representative, start, end, rep_start, rep_end, likeness, class_id): each document's passages that another has too.
 
     A passage is tied to the same passage of a representative, a document of smaller doc_id; the representative has a
-    row of its own for it, with likeness 1. Documents without a repeated passage have no row.
+    row of its own for it, with likeness 1. Documents without a repeated passage have no row. class_id is the least doc_id of
+    those that passages tie to the document, directly or through others: not all pairs of a class have a row.
     """
     links = materialise(shared_passages(docs), "windows-links")
+    classes = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     members = links.select(
         F.col("b").alias("doc_id"), F.col("a").alias("representative"), F.col("b_start").alias("start"), F.col("b_end").alias("end"),
         F.col("a_start").alias("rep_start"), F.col("a_end").alias("rep_end"), "likeness",
@@ -540,4 +621,5 @@ def memberships(docs: DataFrame) -> DataFrame:
         F.col("a").alias("doc_id"), F.col("a").alias("representative"), F.col("a_start").alias("start"), F.col("a_end").alias("end"),
         F.col("a_start").alias("rep_start"), F.col("a_end").alias("rep_end"), F.lit(1.0).alias("likeness"),
     ).distinct()
-    return members.union(own)
+    rows = members.union(own)
+    return rows.join(classes.hint("merge"), "doc_id").select(*rows.columns, "class_id")

@@ -259,3 +259,39 @@ def test_blocks_of_a_signature_meet():
     assert cw.across(doc, open_, own, parts) == [(40, 90)]
     open_[[2, 4]] = False
     assert cw.across(doc, open_, np.zeros(12, int), parts) == [(20, 70), (40, 90)]
+
+
+def test_classes_of_a_signature_equal_brute_force():
+    """Rows that are tied to others already meet the rest: the links make the classes that all pairs give."""
+    rng = np.random.default_rng(23)
+    chains = 0
+    for trial in range(60):
+        parts = []
+        for _ in range(6):
+            base = rng.integers(0, 2**32, 64).astype(np.uint32)
+            if trial % 4 == 3:
+                base[20:40] = base[:20]
+            for _ in range(2):
+                near = base.copy()
+                near[rng.integers(0, 64, int(rng.integers(0, 7)))] = rng.integers(0, 2**32)
+                parts += [near, np.append(near[int(rng.integers(0, 20)) :], rng.integers(0, 2**32, 9).astype(np.uint32))]
+        parts += [np.append(parts[0][:41], rng.integers(0, 2**32, 20).astype(np.uint32)) for _ in range(3)]
+        n = len(parts)
+        open_ = np.append(False, np.ones(n - 1, bool))
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if cw.passages(parts[i], parts[j])]
+        want = brute.components(range(n), pairs)
+        doc = np.arange(n)
+        one = cw.across(doc, open_, np.zeros(n, int), parts)
+        blocks = [x for lo, hi in ((0, 1), (0, 0), (1, 1)) if (k := np.flatnonzero((doc % 2 == lo) | (doc % 2 == hi))).size for x in cw.across(doc[k], open_[k], doc[k] % 2, [parts[i] for i in k])]
+        for found in (one, blocks):
+            assert set(found) <= set(pairs) and brute.components(range(n), found) == want
+        chains += len(set(pairs)) > len(one)
+    assert chains > 30
+
+
+def test_every_document_has_its_class(spark):
+    p = words(5000, 80)
+    near = lambda places: [f"c{k}" if k in places else w for k, w in enumerate(p)]
+    texts = [p, near([39]), words(5001, 60) + p[:60], words(5002, 90), words(5003, 70), words(5003, 70)]
+    got = cw.memberships(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(0, 0), (1, 0), (2, 0), (4, 4), (5, 4)}
