@@ -38,6 +38,8 @@ HASHES, ROWS = 4, 2
 GAP, DRIFT = 12, 12
 #: Rows of a signature that are compared at once with as many others.
 BLOCK = 1024
+#: Rows of a signature that are compared pair by pair.
+FEW = 24
 
 _U = np.uint64
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
@@ -91,37 +93,34 @@ def entries(seq: np.ndarray, room: int = LEAST_WORDS - WIDTH + 1) -> tuple[np.nd
     return key, at.astype(np.int32), more.astype(np.int32)
 
 
-def _numbered(x: np.ndarray) -> np.ndarray:
-    """Each value with how often it came before, as one 64-bit code."""
-    order = np.argsort(x, kind="stable")
-    y = x[order]
-    new = np.append(True, y[1:] != y[:-1]) if len(y) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(new, np.arange(len(y)), 0))
-    out = np.empty(len(x), np.uint64)
-    out[order] = y.astype(np.uint64) << _U(32) | (np.arange(len(y)) - start).astype(np.uint64)
-    return out
-
-
-def _matched(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb_: np.ndarray, room: int) -> list[tuple[int, int, int, int, float]]:
-    """The passages along matches of places pa_ (ascending) and pb_. A run of matches whose likeness falls short is cut
-    where it jumps furthest, and its parts are looked at again."""
+def _matched(one: np.ndarray, two: np.ndarray, kinds: int, pa_: np.ndarray, pb_: np.ndarray, room: int) -> list[tuple[int, int, int, int, float]]:
+    """The passages along matches of places pa_ (ascending) and pb_ of two sequences of codes below `kinds`. A run of matches
+    whose likeness falls short is cut where it jumps furthest, and its parts are looked at again."""
     if len(pa_) < THRESHOLD * room * 0.9:
         return []
-    shift = np.abs(np.diff(pb_ - pa_))
-    jump = np.diff(pa_) + shift
-    cut = np.flatnonzero((np.diff(pa_) > GAP) | (shift > DRIFT)) + 1
-    waiting = [(x[0], x[-1]) for x in np.split(np.arange(len(pa_)), cut)]
+    step = pa_[1:] - pa_[:-1]
+    shift = np.abs(pb_[1:] - pb_[:-1] - step)
+    cut = np.flatnonzero((step > GAP) | (shift > DRIFT))
+    first, last = np.append(0, cut + 1), np.append(cut, len(pa_) - 1)
+    long = pa_[last] - pa_[first] >= room - 1
+    waiting = list(zip(first[long].tolist(), last[long].tolist(), strict=True))
+    jump = step + shift
     out = []
     while waiting:
         i, j = waiting.pop()
-        a0, a1, b0, b1 = pa_[i], pa_[j] + 1, pb_[i : j + 1].min(), pb_[i : j + 1].max() + 1
-        if min(a1 - a0, b1 - b0) < room:
+        a0, a1 = int(pa_[i]), int(pa_[j]) + 1
+        if a1 - a0 < room:
             continue
-        x, y = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        likeness = both / (len(x) + len(y) - both)
+        b0, b1 = int(pb_[i : j + 1].min()), int(pb_[i : j + 1].max()) + 1
+        if b1 - b0 < room:
+            continue
+        x, y = np.zeros(kinds, bool), np.zeros(kinds, bool)
+        x[one[a0:a1]] = True
+        y[two[b0:b1]] = True
+        both = np.count_nonzero(x & y)
+        likeness = both / (np.count_nonzero(x) + np.count_nonzero(y) - both)
         if likeness >= THRESHOLD - 1e-9:
-            out.append((int(a0), int(a1), int(b0), int(b1), float(likeness)))
+            out.append((a0, a1, b0, b1, likeness))
         elif j > i:
             k = i + int(np.argmax(jump[i:j]))
             waiting += [(i, k), (k + 1, j)]
@@ -142,26 +141,30 @@ def _beside(a: np.ndarray, around: np.ndarray, n: int, d: int) -> tuple[np.ndarr
     return here + lo, here + lo + d + _NEAREST[first[here]]
 
 
-def _seeded(a: np.ndarray, b: np.ndarray, room: int, known: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+def _seeded(one: np.ndarray, two: np.ndarray, values: np.ndarray, room: int, known: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
     """Passages along every diagonal on which a min-hash of both has a place in each, unless all the windows of both
-    places lie in passages already, known ones or such. Inside a stretch of one repeated shingle only the ends are such places."""
-    if min(len(a), len(b)) < room:
-        return []
-    seeds = np.zeros(0, np.uint32)
+    places lie in passages already, known ones or such. Inside a stretch of one repeated shingle only the ends are such places.
+    one and two are numbers of values."""
+    kinds, n, m = len(values), len(one), len(two)
+    seed = np.zeros(kinds, bool)
     for f in range(HASHES):
-        x, y = (np.unique(sliding_min(mix64(s.astype(_U) + _SEEDS[f]), room)) for s in (a, b))
-        least = np.intersect1d(x, y, assume_unique=True)
-        seeds = np.union1d(seeds, a[np.isin(mix64(a.astype(_U) + _SEEDS[f]), least)])
+        order = np.argsort(mix64(values.astype(_U) + _SEEDS[f]))
+        rank = np.empty(kinds, np.int32)
+        rank[order] = np.arange(kinds, dtype=np.int32)
+        x, y = np.zeros(kinds, bool), np.zeros(kinds, bool)
+        x[sliding_min(rank[one], room)] = True
+        y[sliding_min(rank[two], room)] = True
+        seed[order[x & y]] = True
 
     def places(s):
-        ends = np.append(True, s[1:] != s[:-1]) | np.append(s[1:] != s[:-1], True)
-        return np.flatnonzero(ends & np.isin(s, seeds))
+        new = s[1:] != s[:-1]
+        return np.flatnonzero((np.append(True, new) | np.append(new, True)) & seed[s])
 
-    at, there = places(a), places(b)
-    there = there[np.argsort(b[there], kind="stable")]
-    lo, hi = np.searchsorted(b[there], a[at], "left"), np.searchsorted(b[there], a[at], "right")
+    at, there = places(one), places(two)
+    there = there[np.argsort(two[there], kind="stable")]
+    lo, hi = np.searchsorted(two[there], one[at], "left"), np.searchsorted(two[there], one[at], "right")
     # for each place, the furthest end of a passage that holds it
-    end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    end_a, end_b = np.zeros(n, np.int64), np.zeros(m, np.int64)
 
     def cover(p):
         np.maximum(end_a[p[0] : p[1]], p[1], out=end_a[p[0] : p[1]])
@@ -169,27 +172,26 @@ def _seeded(a: np.ndarray, b: np.ndarray, room: int, known: list[tuple[int, int,
 
     for p in known:
         cover(p)
-    j0, j1 = np.maximum(0, there - room + 1), np.minimum(len(b), there + room)
-    _, both = np.unique(np.append(a, b), return_inverse=True)
-    one, two, mark = both[: len(a)], both[len(a) :], np.zeros(both.max() + 1, bool)
-    outside = np.full(len(a) + DRIFT, -1)
+    j0, j1 = np.maximum(0, there - room + 1), np.minimum(m, there + room)
+    mark = np.zeros(kinds, bool)
+    outside = np.full(n + DRIFT, -1)
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate([outside, two, outside]), 2 * DRIFT + 1)
-    tried, out = np.zeros(len(a) + len(b), bool), []
+    tried, out = np.zeros(n + m, bool), []
     for i, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        i0, i1 = max(0, i - room + 1), min(len(a), i + room)
-        left = ~tried[there[x:y] - i + len(a)] & ((end_a[i0] < i1) | (end_b[j0[x:y]] < j1[x:y]))
+        i0, i1 = max(0, i - room + 1), min(n, i + room)
+        left = ~tried[there[x:y] - i + n] & ((end_a[i0] < i1) | (end_b[j0[x:y]] < j1[x:y]))
         for k in (np.flatnonzero(left) + x).tolist():
             j = int(there[k])
             if end_a[i0] >= i1 and end_b[j0[k]] >= j1[k]:
                 continue
             near = two[max(0, j0[k] - DRIFT) : j1[k] + DRIFT]
             mark[near] = True
-            found = mark[one[i0:i1]].sum()
+            found = np.count_nonzero(mark[one[i0:i1]])
             mark[near] = False
             if found < THRESHOLD * room * 0.9:
                 continue
-            tried[j - i + len(a)] = True
-            for p in _matched(a, b, *_beside(one, around, len(b), j - i), room):
+            tried[j - i + n] = True
+            for p in _matched(one, two, kinds, *_beside(one, around, m, j - i), room):
                 cover(p)
                 out.append(p)
     return out
@@ -201,19 +203,36 @@ def passages(a: np.ndarray, b: np.ndarray, room: int = LEAST_WORDS - WIDTH + 1)
     A shingle's first place in a is matched with its first in b, its second with its second, and so on; where a shared
     shingle has several places in a or b, all of them are tried from those of the min-hashes. Codes are of 32 bits.
     """
-    if len(a) == len(b) and (a == b).all():
-        return [(0, len(a), 0, len(b), 1.0)] if len(a) >= room else []
-    na, nb = _numbered(a), _numbered(b)
-    _, pa_, pb_ = np.intersect1d(na, nb, assume_unique=True, return_indices=True)
-    order = np.argsort(pa_)
-    pa_, pb_ = pa_[order], pb_[order]
-    if not len(pa_):
+    n, m = len(a), len(b)
+    if min(n, m) < room:
         return []
-    out = _matched(a, b, pa_, pb_, room)
-    again = np.union1d(a[(na & _U(0xFFFFFFFF)) > 0], b[(nb & _U(0xFFFFFFFF)) > 0])
-    whole = any(p[:4] == (0, len(a), 0, len(b)) for p in out)
-    if len(again) and not whole and np.isin(a[pa_], again).any():
-        out = list(dict.fromkeys(_seeded(a, b, room, out) + out))
+    if n == m and (a == b).all():
+        return [(0, n, 0, m, 1.0)]
+    # both sequences' places by shingle, those of a first
+    order = np.concatenate([a, b]).astype(_U) << _U(32) | np.arange(n + m, dtype=_U)
+    order.sort()
+    at, value = (order & _U(0xFFFFFFFF)).astype(np.int64), order >> _U(32)
+    new = np.append(True, value[1:] != value[:-1])
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    kinds = len(first)
+    code = np.empty(n + m, np.int64)
+    code[at] = group
+    one, two = code[:n], code[n:]
+    in_a, in_b = np.bincount(one, minlength=kinds), np.bincount(two, minlength=kinds)
+    common = (in_a > 0) & (in_b > 0)
+    # a passage has at least so many distinct shingles on either side
+    least_a, least_b = (max(1, room - len(s) + np.count_nonzero(c)) for s, c in ((a, in_a), (b, in_b)))
+    if np.count_nonzero(common) < _needed(least_a, least_b) - 1e-6:
+        return []
+    mine = np.flatnonzero(at < n)
+    mine = mine[mine - first[group[mine]] < in_b[group[mine]]]
+    mate = np.full(n, -1)
+    mate[at[mine]] = at[mine + in_a[group[mine]]] - n
+    pa_ = np.flatnonzero(mate >= 0)
+    out = _matched(one, two, kinds, pa_, mate[pa_], room)
+    whole = any(p[:4] == (0, n, 0, m) for p in out)
+    if not whole and (common & (in_a + in_b > 2)).any():
+        out = list(dict.fromkeys(_seeded(one, two, value[first], room, out) + out))
         spans = np.array([p[:4] for p in out]).reshape(-1, 4)
         inside = lambda p, k: ((spans[:, 0] <= p[0]) & (spans[:, 1] >= p[1]) & (spans[:, 2] <= p[2]) & (spans[:, 3] >= p[3]) & (np.arange(len(spans)) != k)).any()
         out = [p for k, p in enumerate(out) if not inside(p, k)]
@@ -326,13 +345,29 @@ def _dense(hit: np.ndarray, size: np.ndarray, part: int, of: int, room: int) ->
     return np.bincount(whose[enough], minlength=len(size)) > 0
 
 
+def _alike(parts: list[np.ndarray], room: int, meets) -> list[tuple[int, int]]:
+    """The pairs of rows that meet and have enough distinct shingles in common for a passage, the most alike first."""
+    size = np.array([len(s) for s in parts])
+    value, code = np.unique(np.concatenate(parts), return_inverse=True)
+    has = np.zeros((len(parts), len(value)), np.float32)
+    has[np.repeat(np.arange(len(parts)), size), code] = 1
+    common = has @ has.T
+    least = np.maximum(1, room - (size - common.diagonal()))
+    x, y = np.nonzero(np.triu(common >= _needed(least[:, None], least) - 1e-6, 1))
+    near = meets(x, y) & (np.minimum(size[x], size[y]) >= room)
+    x, y = x[near], y[near]
+    order = np.argsort(-common[x, y], kind="stable")
+    return list(zip(x[order].tolist(), y[order].tolist(), strict=True))
+
+
 def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.ndarray], room: int = LEAST_WORDS - WIDTH + 1, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(a, b) docs, a < b: links that, with those known, make one class of all rows whose parts share passages, directly or
     through others.
 
     Known are the classes `group`, or one of all rows that aren't open. Only rows of different classes are compared, and each
     link makes one class of two, so none between two classes that are left is missed.
-    Rows that have `room` shingles in a row in common are told by sums of hashes over all places; for the others,
+    Of up to FEW rows, all that have enough shingles in common for a passage are compared, the most alike first. Of more, rows
+    that have `room` shingles in a row in common are told by sums of hashes over all places; for the others,
     shingles in common are counted for all rows that share one of their rarest shingles (see rarest), and those that have
     enough for a passage, near enough to each other, are compared, the most alike first.
     own is the block of a row; where there are two, rows meet those of the other block only.
@@ -344,10 +379,20 @@ def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.n
     def meets(x, y):
         return (doc[x] != doc[y]) & ((own[x] != own[y]) | (not two)) & (group[x] != group[y])
 
+    def share(x, y):
+        """Whether a passage is found as `_verified` looks for it, from the lesser doc: the other way round cuts may differ."""
+        x, y = (x, y) if doc[x] < doc[y] else (y, x)
+        return bool(passages(parts[x], parts[y], room))
+
     def tie(x, y):
         found.append((x, y))
         group[group == group[y]] = group[x]
 
+    if n <= FEW:
+        for x, y in _alike(parts, room, meets):
+            if group[x] != group[y] and share(x, y):
+                tie(x, y)
+        return sorted({(int(min(doc[x], doc[y])), int(max(doc[x], doc[y]))) for x, y in found})
     sums, rows = [], []
     for r, s in enumerate(parts):
         if len(s) >= room:
@@ -412,7 +457,7 @@ def across(doc: np.ndarray, open_: np.ndarray, own: np.ndarray, parts: list[np.n
                 others, common = others[near], common[near]
             mine[own_codes] = -1
             for y in others[np.argsort(-common, kind="stable")].tolist():
-                if group[x] != group[y] and passages(parts[x], parts[y], room):
+                if group[x] != group[y] and share(x, y):
                     tie(x, y)
     return sorted({(int(min(doc[x], doc[y])), int(max(doc[x], doc[y]))) for x, y in found})
 

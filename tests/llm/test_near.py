@@ -295,3 +295,29 @@ def test_every_document_has_its_class(spark):
     texts = [p, near([39]), words(5001, 60) + p[:60], words(5002, 90), words(5003, 70), words(5003, 70)]
     got = cw.memberships(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["class_id"]) for r in got} == {(0, 0), (1, 0), (2, 0), (4, 4), (5, 4)}
+
+
+def test_too_little_in_common_is_told_before_places(monkeypatch):
+    """Two texts that repeat a formula, but have too few shingles in common for a passage, aren't compared place by place."""
+    rng = np.random.default_rng(29)
+    formula = rng.integers(0, 2**32, 20).astype(np.uint32)
+    a, b = (np.concatenate([x for _ in range(2) for x in (rng.integers(0, 2**32, 50).astype(np.uint32), formula[:12])]) for _ in range(2))
+    monkeypatch.setattr(cw, "_seeded", lambda *x: pytest.fail("compared"))
+    assert cw.passages(a, b) == []
+
+
+def test_links_hold_in_the_order_in_which_they_are_verified():
+    """Cuts may fall elsewhere the other way round, so a link is tried from the lesser doc, whichever row is open."""
+    rng = np.random.default_rng(31)
+    uneven = 0
+    for _ in range(1500):
+        a = rng.integers(0, 2**32, 66).astype(np.uint32)
+        b = a
+        for p in np.sort(rng.integers(0, 62, int(rng.integers(2, 5))))[::-1]:
+            b = np.concatenate([b[:p], rng.integers(0, 2**32, int(rng.integers(2, 7))).astype(np.uint32), b[p + int(rng.integers(2, 7)) :]])
+        one, two = (bool(cw.passages(*x)) for x in ((a, b), (b, a)))
+        if one != two:
+            uneven += 1
+            for first in (True, False):
+                assert bool(cw.across(np.array([3, 8]), np.array([first, not first]), np.zeros(2, int), [a, b])) == one
+    assert uneven >= 3
