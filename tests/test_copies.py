@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from test_queries import plain
 
+from millrace.operators import pair_features
 from millrace.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,15 @@ def test_pairs_come_last(spark, copied, name):
     assert sum(n >= rows for n in joined(d._jdf.queryExecution().executedPlan())) == 1
     above = d._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert not [x for x in ("Window", "ArrowEvalPython", "Aggregate", "levenshtein", "array_intersect") if x in above]
+
+
+def test_features_of_copies_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """Scores of pair_features are those of different rows; as many pairs come to the kernels whatever the copies."""
+    n = 36 * duckdb.execute(f"SELECT max(p_partkey) + 1 FROM '{SF}/part.parquet'").fetchall()[0][0]
+    duckdb.execute(f"COPY (SELECT p.* REPLACE (p_partkey + i * {n} AS p_partkey) FROM '{SF}/part.parquet' p, range(6) r(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    given = []
+    monkeypatch.setattr(pair_features, "fuzzy", lambda d, own=pair_features.fuzzy: given.append(d) or own(d))
+    for folder in (SF, str(tmp_path)):
+        registry.queries()["pair_features"](spark, folder)
+    one, many = (d.count() for d in given)
+    assert one == many > 0
