@@ -19,6 +19,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ BITS = 15
 #: Bytes of a hashed run, the odd factor that hashes it, and how far means are apart that the curve tells well apart.
 RUN, FACTOR, SPREAD = 8, np.uint64(0x9E3779B97F4A7C15), 3.0
 SOME_BYTES = 2_000_000
-CACHED_CHUNKS, CACHED_PIECES = 600_000, 400_000
+#: Chunks that a worker keeps, bytes of texts (one at least) whose ids it works out at once.
+CACHED_CHUNKS, BYTES_AT_ONCE = 800_000, 8_000_000
 
 #: Python's split() takes these for white space; the tokenizers don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -152,9 +154,9 @@ def along_curve(docs: DataFrame) -> DataFrame:
 class Ids:
     """Ids of texts by a tokenizers file of lower-cased words with an end mark, split as PIECES says.
 
-    White-space chunks, and the pieces of plain chunks, are encoded once and kept in bounded caches. New pieces are
-    encoded many at a time, as one text: each piece ends in the one id that ends a word. Other chunks, and texts with
-    characters that only Python calls white space, go through the tokenizer as they are.
+    White-space chunks, and the pieces of plain chunks, are encoded once and kept in one bounded cache: a piece is a chunk
+    of its own. New pieces are encoded many at a time, by the merges alone: each piece ends in the one id that ends a word.
+    Other chunks, and texts with characters that only Python calls white space, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -163,31 +165,30 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Tokenizer(self.tokenizer.model)  # plain pieces are normal and split already
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces_of = regex.compile(PIECES).findall
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > CACHED_PIECES:
-            self.pieces.clear()
-        ids = np.frombuffer(self._encode([" ".join(new)])[0], "<u4")
+        ids = np.array(self.merges.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) == len(new) and (not len(last) or last[-1] == len(ids)):
             data, at = ids.tobytes(), [0, *(4 * last).tolist()]
-            self.pieces.update((p, data[i:j]) for p, i, j in zip(new, at, at[1:], strict=False))
+            self.chunks.update(zip(new, [data[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
         else:
-            self.pieces.update(zip(new, self._encode(new), strict=True))
+            self.chunks.update(zip(new, self._encode(new), strict=True))
 
     def _learn(self, new: list[str]) -> None:
         words, more, odd = {}, {}, []  # chunks of one piece, of several, and those that the tokenizer has to see
@@ -202,33 +203,37 @@ class Ids:
                 odd.append(c)
             else:
                 more[c] = self.pieces_of(c.lower())
-        wanted = set(words.values()).union(*more.values())
-        missing = list(wanted.difference(self.pieces))
-        if len(self.pieces) + len(missing) > CACHED_PIECES:
-            self.pieces.clear()
-            missing = list(wanted)
+        missing = list(set(words.values()).union(*more.values()).difference(self.chunks))
         if missing:
             self._learn_pieces(missing)
-        get = self.pieces.__getitem__
+        get = self.chunks.__getitem__
         self.chunks.update(zip(words, map(get, words.values()), strict=True))
-        self.chunks.update((c, b"".join(map(get, found))) for c, found in more.items())
+        self.chunks.update(zip(more, [b"".join(map(get, found)) for found in more.values()], strict=True))
         if odd:
             self.chunks.update(zip(odd, self._encode(odd), strict=True))
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        odd = [k for k, t in enumerate(texts) if any(c in t for c in ODD_SPACE)]
-        whole = dict(zip(odd, self._encode([texts[k] for k in odd]), strict=True))
-        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        new, known = set(), self.chunks.__contains__
-        for chunks in split:
-            new.update(filterfalse(known, chunks))
-        if len(self.chunks) + len(new) > CACHED_CHUNKS:
+    def of(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Chunks are told apart in Arrow; only different ones become Python's."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, f"[{ODD_SPACE}]").to_numpy(zero_copy_only=False)).tolist()
+        split = pc.utf8_split_whitespace(texts)  # the white space that Python's split() takes
+        coded = split.flatten().dictionary_encode()
+        different, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
-        get = self.chunks.__getitem__
-        return [whole[k] if k in whole else b"".join(map(get, chunks)) for k, chunks in enumerate(split)]
+        if new := list(filterfalse(self.chunks.__contains__, different)):
+            self._learn(new)
+        found = list(map(self.chunks.__getitem__, different))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = (np.cumsum(sizes) - sizes)[which]
+        upto = np.concatenate([[0], np.cumsum(sizes[which])])
+        data = np.frombuffer(b"".join(found), "<u4")[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes[which])].tobytes()
+        at = (4 * upto[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        ids = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+        for k, whole in zip(odd, self._encode(texts.take(pa.array(odd, pa.int64())).to_pylist()), strict=True):
+            ids[k] = whole
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -301,11 +306,14 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            rows = []
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for doc_id, data in zip(some.column(0).to_pylist(), ids.of([t or "" for t in some.column(1).to_pylist()]), strict=True):
+            rows, texts = [], batch.column(1).cast(pa.large_string()).fill_null("")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy())
+            k = 0
+            while k < batch.num_rows:
+                n = max(1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + BYTES_AT_ONCE, "right")) - k)
+                for doc_id, data in zip(batch.column(0).slice(k, n).to_pylist(), ids.of(texts.slice(k, n)), strict=True):
                     rows += packer.add(doc_id, data + close)
+                k += n
             if rows:
                 yield out(rows)
         if rows := list(packer.close()):

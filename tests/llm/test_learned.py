@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -260,3 +261,23 @@ def test_toxicity_models_hold_every_string(spark):
     tried = words[::50] + ["abc", "l" * 30, "".join(words[:40]), words[5] + "kk", "a"]
     got = model.ratios(tried)
     assert np.allclose(got, [ratio(w) for w in tried], atol=1e-3)
+
+
+def test_ids_of_arrow_texts_look_at_different_chunks_once():
+    """Texts come as Arrow arrays; the cache meets each different chunk of them once, and ids are the tokenizer's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, seen = hilbert_packing.Ids(path), []
+
+    class Chunks(dict):
+        def __getitem__(self, c):
+            seen.append(c)
+            return super().__getitem__(c)
+
+    ids.chunks = Chunks()
+    texts = [" Zwölf  ÉTÉ's x1,23 \x85 été\x1codd\n", "", "word " * 5000 + "İstanbul <|endoftext|> ŉ ﬁ"] + ["word été's word,"] * 500
+    ids.of(pa.array(["word été's word,"], pa.large_string()))  # learnt
+    seen.clear()
+    assert len(ids.of(pa.array(["word été's word,"] * 700, pa.large_string()))) == 700 and len(seen) == 3
+    want = [np.array(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids.of(pa.array(texts, pa.large_string()).slice(0)) == want == ids.of(texts)
+    assert ids.of(pa.array(texts, pa.large_string()).slice(1, 2)) == want[1:3]
