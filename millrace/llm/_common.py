@@ -5,9 +5,11 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ def hold(name: str, release: Callable[[], None]) -> None:
     _HELD[name] = release
 
 
+#: Bytes of texts whose chunks are told apart at once.
+BYTES_AT_ONCE = 8_000_000
+
+
 class WordCodes(dict):
     """White-space chunk -> 64-bit code of its lower-cased word without edge punctuation; 0 if none is left.
 
@@ -108,6 +114,24 @@ class WordCodes(dict):
             self.clear()
         return np.fromiter(map(self.__getitem__, chunks), np.uint64, len(chunks))
 
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """codes() of each text, with a 0 more for white space at an end and for no text. Chunks are told apart in Arrow, at most BYTES_AT_ONCE of texts (one at least) at once, and
+        only different ones become Python's."""
+        texts = texts.cast(pa.large_string())
+        upto = np.cumsum(pc.binary_length(texts).to_numpy())
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BYTES_AT_ONCE, "right")))
+            split = pc.utf8_split_whitespace(texts.slice(first, last - first))  # the white space that split() takes
+            coded = split.flatten().dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            if len(self) > self.limit:
+                self.clear()
+            codes = np.fromiter(map(self.__getitem__, different), np.uint64, len(different))[coded.indices.to_numpy()]
+            at = split.offsets.to_numpy() - split.offsets[0].as_py()
+            yield from (codes[i:j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False))
+            first = last
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers that scatters their bits."""

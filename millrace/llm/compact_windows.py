@@ -52,7 +52,10 @@ def _words() -> WordCodes:
 
 def sequence(text: str) -> np.ndarray:
     """The codes of the text's shingles in order; none if it has fewer words than a shingle."""
-    codes = _words().codes(text)
+    return _shingles(_words().codes(text))
+
+
+def _shingles(codes: np.ndarray) -> np.ndarray:
     codes = codes[codes != 0]
     return shingle_codes(codes, WIDTH) if len(codes) >= WIDTH else codes[:0]
 
@@ -251,9 +254,9 @@ def _entries_of(docs: DataFrame) -> DataFrame:
         hold("windows", _words().clear)
         for batch in batches:
             ids, found, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, codes in zip(batch.column(0).to_pylist(), _words().of(batch.column(1)), strict=True):
                 ids.append(doc_id)
-                found.append(entries(sequence(text)))
+                found.append(entries(_shingles(codes)))
                 size += len(found[-1][0])
                 if size > 200_000:
                     yield out(ids, found)
@@ -624,7 +627,7 @@ def _sequences(needed: DataFrame, d: DataFrame) -> DataFrame:
     def read(batches):
         hold("windows", _words().clear)
         for batch in batches:
-            found = [(sequence(t) >> _U(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            found = [(_shingles(c) >> _U(32)).astype("<u4").tobytes() for c in _words().of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "seq"])
 
     texts = d.join(needed.hint("merge"), "id", "left_semi").mapInArrow(read, "id long, seq binary").groupBy("id").agg(F.min("seq").alias("seq"))

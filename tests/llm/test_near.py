@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import compact_windows as cw
@@ -321,3 +322,21 @@ def test_links_hold_in_the_order_in_which_they_are_verified():
             for first in (True, False):
                 assert bool(cw.across(np.array([3, 8]), np.array([first, not first]), np.zeros(2, int), [a, b])) == one
     assert uneven >= 3
+
+
+def test_codes_of_arrow_texts_look_at_different_chunks_once():
+    """WordCodes.of gives the words' codes that codes() gives, and the cache meets each different chunk of a run of texts once."""
+    from millrace.llm import _common
+
+    texts = ["A b,\x1cc\x85d  É　e", "", "  ", "x" * 100 + " ¿qué? …"] + ["one two, One"] * 900
+    words, seen = _common.WordCodes(), []
+
+    class Seen(_common.WordCodes):
+        def __getitem__(self, c):
+            seen.append(c)
+            return super().__getitem__(c)
+
+    given = pa.array(["-", *texts]).slice(1)
+    assert [x[x != 0].tolist() for x in Seen().of(given)] == [x[x != 0].tolist() for x in map(words.codes, texts)]
+    assert sorted(seen) == sorted({c for t in texts for c in t.split()} | {""})
+    assert [x.tolist() for x in cw._words().of(given.slice(0, 0))] == []
