@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.expressions import expected_f_half, f_half, logit_shift
-from millrace.operators.grouping import best_in_group
+from millrace.functions.expressions import f_half, logit_shift
+from millrace.operators.grouping import best_in_group, ranked
 
 FLOOR = 0.003
-MOST = 30
+#: What a distribution may lose at its ends at a time; elements worked out at once.
+TAIL, AT_ONCE = 1e-18, 1 << 20
 
 
 def partition(pairs: DataFrame, score: str, record: list[str], entity: str) -> DataFrame:
@@ -17,29 +20,104 @@ def partition(pairs: DataFrame, score: str, record: list[str], entity: str) -> D
     return best_in_group(pairs, record, score, entity)
 
 
-def best_prefix(ps):
-    """Struct (k, ef): the prefix length of greatest expected F0.5 (the smallest of equals) and that expectation."""
-    ks = F.sequence(F.lit(0), F.size(ps))
-    options = F.transform(ks, lambda k: F.struct((-F.round(expected_f_half(ps, k), 9)).alias("minus"), k.alias("k")))
-    best = F.array_min(options)
+def _joint(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+    """The distribution (first count, probabilities) of a sum of two independent counts, without ends that weigh nothing."""
+    p = np.convolve(a[1], b[1])
+    low = int(np.searchsorted(np.cumsum(p), TAIL, "right"))
+    high = len(p) - int(np.searchsorted(np.cumsum(p[::-1]), TAIL, "right"))
+    return a[0] + b[0] + low, p[low:high]
+
+
+def _repeated(p: float, n: int) -> tuple[int, np.ndarray]:
+    """The distribution of n independent events of probability p."""
+    out, square = (0, np.ones(1)), (0, np.array([1 - p, p]))
+    while n:
+        if n & 1:
+            out = _joint(out, square)
+        n >>= 1
+        square = _joint(square, square) if n else square
+    return out
+
+
+def _without_one(runs: list[tuple[float, int]]):
+    """For each run (p, n) in turn the distribution of all events but one of it. No step divides, so none loses digits."""
+    whole = {}
+
+    def build(a, b):
+        m = (a + b) // 2
+        whole[a, b] = _repeated(*runs[a]) if b - a == 1 else _joint(build(a, m), build(m, b))
+        return whole[a, b]
+
+    def walk(a, b, rest):
+        if b - a == 1:
+            yield _joint(rest, _repeated(runs[a][0], runs[a][1] - 1))
+            return
+        m = (a + b) // 2
+        yield from walk(a, m, _joint(rest, whole[m, b]))
+        yield from walk(m, b, _joint(rest, whole[a, m]))
+
+    build(0, len(runs))
+    return walk(0, len(runs), (0, np.ones(1)))
+
+
+def prefix_of(runs: list[tuple[float, int]]) -> tuple[int, float]:
+    """(k, ef) of best_prefix for events of probability p that come n times each (runs, descending).
+
+    With S all that come true, the first k have 1.25 a / (0.25 S + k) on average: the sum over s of E[a; S = s] * 5 / (s + 4 k).
+    E[a; S = s] grows by p * P(the others = s - 1) with each event, which is the same within a run. All k are tried.
+    """
+    runs = [r for r in runs if r[1] > 0]
+    if not runs:
+        return 0, 1.0
+    others = list(_without_one(runs))
+    low, high = min(o[0] for o in others) + 1, max(o[0] + len(o[1]) for o in others) + 1
+    s, sums = np.arange(low, high), np.zeros((high - low, 2))  # what the runs before have, what one more event brings
+    options, k = [np.array([np.prod([(1 - p) ** n for p, n in runs])])], 0
+    for (p, n), (first, rest) in zip(runs, others, strict=True):
+        sums[:, 1] = 0
+        sums[first + 1 - low : first + 1 - low + len(rest), 1] = p * rest
+        step = max(1, AT_ONCE // len(s))
+        for a in range(0, n, step):
+            j = np.arange(a + 1, min(a + step, n) + 1)
+            x = (5 / (s[None, :] + 4 * (k + j)[:, None])) @ sums
+            options.append(x[:, 0] + j * x[:, 1])
+        sums[:, 0] += n * sums[:, 1]
+        k += n
+    options = np.round(np.concatenate(options), 9)
+    best = int(np.argmax(options))
+    return best, float(options[best])
+
+
+def _prefixes(ps: pa.Array, counts: pa.Array) -> pa.Array:
+    found = [prefix_of(list(zip(p or [], n or [], strict=True))) for p, n in zip(ps.to_pylist(), counts.to_pylist(), strict=True)]
+    return pa.array([{"k": k, "ef": ef} for k, ef in found], pa.struct([("k", pa.int32()), ("ef", pa.float64())]))
+
+
+def best_prefix(ps, counts=None):
+    """Struct (k, ef): the prefix length of greatest expected F0.5 (the smallest of equals) and that expectation.
+
+    ps are descending probabilities, of any number; counts say how often each comes, once without them."""
+    best = F.arrow_udf(_prefixes, "struct<k:int,ef:double>")(ps, F.transform(ps, lambda _: F.lit(1)) if counts is None else counts)
     # never null, and said to be so: a test for null would be pushed down and work the lists out twice
-    return F.struct(F.coalesce(best["k"], F.lit(0)).alias("k"), (-best["minus"]).alias("ef"))
+    return F.struct(F.coalesce(best["k"], F.lit(0)).alias("k"), F.coalesce(best["ef"], F.lit(1.0)).alias("ef"))
 
 
-def best_prefixes(lists: DataFrame, ps: str, name: str) -> DataFrame:
-    """lists with best_prefix of the column ps as `name`: worked out once for each different list."""
-    each = lists.select(F.col(ps).alias("_list")).distinct()
-    each = each.repartition("_list").withColumn(name, best_prefix(F.col("_list")))
-    return lists.join(each, F.col(ps) == F.col("_list")).drop("_list")
+def best_prefixes(pairs: DataFrame, score: str, entity: list[str], name: str) -> DataFrame:
+    """(*entity, name): best_prefix of all pairs of each entity. An entity's list has its different scores and how often each
+    comes; it is worked out once for each different list."""
+    runs = pairs.groupBy(*entity, F.col(score).cast("double").alias("p")).agg(F.count("*").alias("n"))
+    lists = runs.groupBy(*entity).agg(F.sort_array(F.collect_list(F.struct("p", "n")), asc=False).alias("_runs"))
+    each = lists.select(F.col("_runs").alias("_list")).distinct().repartition("_list")
+    each = each.withColumn(name, best_prefix(F.col("_list.p"), F.col("_list.n")))
+    return lists.join(each, F.col("_runs") == F.col("_list")).drop("_list", "_runs")
 
 
-def select_expected_f(pairs: DataFrame, score: str, entity: list[str], *ties: str, floor: float = FLOOR, most: int = MOST) -> DataFrame:
-    """The pairs of each entity's best prefix: among its `most` best pairs of score >= floor, the first k that together
-    have the greatest expected F0.5. `most` bounds what is collected for an entity."""
-    top = best_in_group(pairs.filter(F.col(score) >= floor), entity, score, *ties, k=most, rank="_rk")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_rk", F.col(score).cast("double").alias("p")))), lambda x: x["p"])
-    best = best_prefixes(top.groupBy(*entity).agg(ordered.alias("_ps")), "_ps", "_best")
-    chosen = top.join(best.select(*entity, F.col("_best.k").alias("_k")), entity)
+def select_expected_f(pairs: DataFrame, score: str, entity: list[str], *ties: str, floor: float = FLOOR) -> DataFrame:
+    """The pairs of each entity's best prefix: of its pairs of score >= floor, from the best on, the first k that together
+    have the greatest expected F0.5, however many they are."""
+    some = pairs.filter(F.col(score) >= floor)
+    best = best_prefixes(some, score, entity, "_best").select(*entity, F.col("_best.k").alias("_k"))
+    chosen = some.withColumn("_rk", ranked(entity, score, *ties)).join(best, entity)
     return chosen.filter(F.col("_rk") <= F.col("_k")).drop("_rk", "_k")
 
 

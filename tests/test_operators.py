@@ -13,6 +13,7 @@ from millrace.operators import grouping as G
 from millrace.operators import learning as K
 from millrace.operators import metrics as M
 from millrace.operators import synthetic as Y
+from millrace.plans import registry
 from millrace.sources import linkage as L
 
 
@@ -47,6 +48,40 @@ def test_select_expected_f_keeps_prefixes(spark):
     assert {(x["s1"], x["rid"]) for x in D.select_expected_f(d, "p", ["s1"], "rid").collect()} == {(1, 1), (1, 2)}
 
 
+def expected_by_counts(ps, k):
+    """Expected F0.5 of the first k by the distributions of what is taken and what is left."""
+
+    def counts(x):
+        d = [1.0]
+        for p in x:
+            d = [a * (1 - p) + b * p for a, b in zip([*d, 0.0], [0.0, *d], strict=True)]
+        return d
+
+    return sum(a * b * f_half(i, i + j, k) for i, a in enumerate(counts(ps[:k])) for j, b in enumerate(counts(ps[k:])))
+
+
+def test_prefixes_of_long_lists(spark):
+    r = random.Random(5)
+    lists = [sorted((round(r.random() * top, digits) for _ in range(n)), reverse=True) for n, top, digits in ((31, 1, 6), (64, 1, 1), (90, 0.1, 2), (40, 0.5, 6))]
+    lists += [[0.9] * 45, [1.0] * 33 + [0.0] * 7]
+    d = spark.createDataFrame([(i, ps) for i, ps in enumerate(lists)], "i int, ps array<double>").withColumn("b", D.best_prefix(F.col("ps")))
+    rows = spark.createDataFrame([(i, rid, p) for i, ps in enumerate(lists) for rid, p in enumerate(ps)], "s1 int, rid int, p double").filter("p > 0")
+    kept = {x["s1"]: (x["n"], x["last"]) for x in D.select_expected_f(rows, "p", ["s1"], "rid", floor=0.0).groupBy("s1").agg(F.count("*").alias("n"), F.max("rid").alias("last")).collect()}
+    for x in d.collect():
+        options = [round(expected_by_counts(x["ps"], k), 9) for k in range(len(x["ps"]) + 1)]
+        assert x["b"]["k"] == options.index(max(options)) and abs(x["b"]["ef"] - max(options)) < 3e-9
+        assert kept[x["i"]] == (x["b"]["k"], x["b"]["k"] - 1)
+    assert kept[4][0] == 45 and kept[5][0] == 33
+
+
+def test_expected_queries_take_all_records_of_an_entity(spark, tmp_path):
+    rows = [(i * 3 + (i > 0), "red ring", "Brand#1", "SMALL", 1) for i in range(81)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["expected_macro"](spark, str(tmp_path)).first()
+    assert tuple(got) == ("SMALL", 1, round(expected_by_counts([0.98] * 80, 80), 6), 80.0)
+    assert registry.queries()["tuned_shift"](spark, str(tmp_path)).filter("macro_f < 1").count() == 0
+
+
 def test_metric_examples(spark):
     universe = spark.createDataFrame([(i,) for i in range(1, 6)], "s1 int")
     truth = spark.createDataFrame([(1, 2, 1), (1, 2, 2), (1, 3, 5), (2, 2, 3), (4, 3, 9), (9, 2, 1)], "s1 int, src int, rid int")
